@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash
+from . import decontamination, exact_dedup, packing, secrets, simhash
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_decontamination": decontamination.op4_decontamination,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLES = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op7_secret_scan": secrets.ORACLE, "op4_decontamination": decontamination.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
