@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, packing, secrets, simhash, substrings
+from . import decontamination, exact_dedup, packing, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
