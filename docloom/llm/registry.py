@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, packing, secrets, simhash, substrings, toxicity
+from . import decontamination, exact_dedup, licenses, packing, secrets, simhash, substrings, toxicity, warc
 
 QUERIES = {
+    "op1_warc_archives": warc.op1_warc_archives,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_substring_dedup": substrings.op5_substring_dedup,
@@ -14,4 +16,4 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLES = {"op5_substring_dedup": substrings.ORACLE, "op7_secret_scan": secrets.ORACLE, "op4_decontamination": decontamination.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_warc_archives": warc.ORACLE, "op2_license_scan": licenses.ORACLE, "op5_substring_dedup": substrings.ORACLE, "op7_secret_scan": secrets.ORACLE, "op4_decontamination": decontamination.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
