@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Scratch, read
+from .native import sized
 
 SALTS = 32
 SHARD_ROWS = 400_000
@@ -176,9 +177,11 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
 
 def keep_one_copy(documents: DataFrame) -> DataFrame:
     """The documents without the copies that exact_duplicates drops."""
-    kept = exact_duplicates(documents).where("kept").select("doc_id", "text_sha256").distinct()
-    same_text = F.sha2(F.coalesce(documents["text"], F.lit("")), 256) == kept["text_sha256"]
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["doc_id"]) & same_text, "left_semi")
+    scratch = Scratch(documents.sparkSession, "copies")
+    gone = exact_duplicates(documents).where("NOT kept").select(F.col("doc_id").alias("gone_id"), "text_sha256").distinct()
+    gone = sized(scratch.write(gone, "gone"))
+    same_text = F.sha2(F.coalesce(documents["text"], F.lit("")), 256) == gone["text_sha256"]
+    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["gone_id"]) & same_text, "left_anti")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, licenses, packing, secrets, simhash, substrings, toxicity, warc
+from . import decontamination, exact_dedup, language, licenses, packing, secrets, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_warc_archives": warc.op1_warc_archives,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_substring_dedup": substrings.op5_substring_dedup,
+    "op6_language_id": language.op6_language_id,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,

@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, read, utf8
+from .common import Scratch, read, row_key, utf8
 from .components import connected_components
+from .native import sized
 
 SHINGLE = 3
 DISTANCE = 2
@@ -50,16 +51,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+    """doc_id, tag (a hash of the text that tells rows of one id apart) and fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in utf8(batch, "text")], "<u8")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps.view("<i8"))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fps.view("<i8"))], ["doc_id", "tag", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"), "text")
+    return rows.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def _syndrome_tables() -> np.ndarray:
@@ -200,7 +202,7 @@ def fingerprint_links(classes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """Per row of documents: doc_id, fingerprint, component_id (the smallest doc_id reachable over links)."""
+    """Per row of documents: doc_id, fingerprint, component_id (the smallest doc_id reachable over links), tag."""
     scratch = Scratch(documents.sparkSession, "simhash")
     prints = scratch.write(fingerprints(documents), "prints")
     classes = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
@@ -208,14 +210,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = scratch.write(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "tag")
 
 
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
     """The documents that name their component, or its only one; of rows that repeat such an id all stay."""
-    kept = near_duplicates(documents).where("doc_id <=> component_id").select("doc_id").distinct()
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    scratch = Scratch(documents.sparkSession, "near-copies")
+    gone = near_duplicates(documents).where("NOT (doc_id <=> component_id)").select(F.struct(F.col("doc_id").alias("id"), F.col("tag").alias("h")).alias("gone"))
+    return documents.join(sized(scratch.write(gone.distinct(), "gone")), row_key() == F.col("gone"), "left_anti")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("tag")
