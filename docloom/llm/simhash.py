@@ -100,7 +100,7 @@ def anchors_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near(a, b) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= DISTANCE
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= DISTANCE  # of signed numbers it would count those of the absolute value
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:

@@ -94,7 +94,7 @@ def _least(priority: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     table = [(priority.astype(np.int64) << np.int64(31)) | np.arange(len(priority))]
     while 2 ** len(table) <= WINDOW:
         step, t = 2 ** (len(table) - 1), table[-1]
-        table.append(np.append(np.minimum(t[:-step], t[step:]), t[len(t) - step :]))
+        table.append(np.append(np.minimum(t[:-step], t[step:]), t[max(len(t) - step, 0) :]))
     depth = np.log2(hi - lo + 1).astype(np.int64)
     stacked = np.stack(table)
     return np.minimum(stacked[depth, lo], stacked[depth, hi + 1 - (1 << depth)]) & 0x7FFFFFFF
