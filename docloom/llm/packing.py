@@ -13,6 +13,7 @@ are broken by doc_id, piece and checksum; equal rows may swap places. An empty t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -22,8 +23,8 @@ from .common import Scratch, read, utf8
 SEQUENCE = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept with their ids in a Python worker; beyond that the cache starts anew.
-CACHE_WORDS = 200_000
+#: Words and stems kept with their ids in each generation of a Python worker's cache, some 200 bytes each.
+CACHE_WORDS = 600_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SPACE = bytes(0x20 if c in b"\t\n\r" else c for c in range(256))
@@ -35,30 +36,76 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+#: ASCII marks that, after a letter or digit, are a token run of their own.
+_TAIL = b".,;:!?%&*#$"
+
+
 class WordTokenizer:
     """Ids of a text as bytes of little-endian u32, word by word.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are those of its blank-separated words.
+    The tokenizer drops white space, never joins over it and lower-cases, so a text's ids are those of its blank-separated
+    words, and a word's ids those of its lower-cased stem and of the marks behind it. Both are kept with their ids in two
+    generations: when the younger is full, it becomes the older and what the older held goes.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.cache: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, bytes]:
+        if b"<" not in word:  # special tokens are told by case
+            word = word.lower()
+        stem = word.rstrip(_TAIL)
+        if len(stem) < len(word) and stem and (stem[-1:].isalnum() or stem[-1] >= 0x80 and stem.decode()[-1].lower()[-1].isalpha()):
+            return stem, word[len(stem) :]
+        return word, b""
 
     def encode(self, text: bytes) -> bytes:
-        words, cache = text.translate(_SPACE).split(b" "), self.cache
-        new = {w for w in words if w not in cache}
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = set(words)
-            new = list(new)
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            for w, e in zip(new, found):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, words))
+        words = text.translate(_SPACE).split(b" ")
+        out = list(map(self.young.get, words))
+        holes = [i for i, x in enumerate(out) if x is None]
+        if not holes:
+            return b"".join(out)
+        split = [self.parts(words[i]) for i in holes]
+        here: dict[bytes, bytes] = {}
+        unknown = []
+        for stem in {s for s, _ in split}:
+            ids = self.young.get(stem)
+            if ids is None:
+                ids = self.old.get(stem)
+                if ids is None:
+                    unknown.append(stem)
+                    continue
+            here[stem] = ids
+        here.update(zip(unknown, self._ids(unknown)))
+        if len(self.young) + len(here) > CACHE_WORDS:
+            self.old, self.young = self.young, {b"": b""}
+        self.young.update(here)
+        for i, (stem, tail) in zip(holes, split):
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {b"": b""}
+                self.tails[tail] = self._ids([tail])[0]
+            out[i] = self.young[words[i]] = here[stem] + self.tails[tail]
+        return b"".join(out)
+
+
+@lru_cache(1)
+def word_tokenizer(vocabulary: str) -> WordTokenizer:
+    """One for all tasks of a Python worker."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordTokenizer(vocabulary)
 
 
 def token_pieces(documents: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -66,13 +113,11 @@ def token_pieces(documents: DataFrame, vocabulary: str | None = None, with_ids:
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator) -> Iterator:
-        import os
         import zlib
 
         import pyarrow as pa
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, end = WordTokenizer(path), np.array([END_ID], "<u4").tobytes()
+        tokenizer, end = word_tokenizer(path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text")):
