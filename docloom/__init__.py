@@ -1,0 +1 @@
+"""Files, documents, tables and pixels as Spark DataFrames."""
