@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dimensions as D
 from ..functions import text as T
-from ..operators import audit, blocks, cells, detect, pixels, relations
+from ..operators import archive, audit, blocks, cells, detect, images, pixels, relations
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -611,3 +611,69 @@ FROM (SELECT user_id, event_type, CAST(strlen(props) AS BIGINT) AS s FROM events
 def queue_totals(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_type", F.octet_length("props").cast("long").alias("s"))
     return relations.totals(e, ["user_id"], "s", F.col("event_type").isin("purchase", "click"))
+
+
+# ---- files made of rows, and read back
+
+
+def _images(spark, sf_dir) -> DataFrame:
+    """Texts as images eight pixels wide, four bytes of text a pixel."""
+    size = F.floor(F.octet_length("text") / 32).cast("int")
+    d = table(spark, sf_dir, "documents").where("octet_length(text) >= 32")
+    return d.select("doc_id", F.lit(8).alias("width"), size.alias("height"), F.substring(F.col("text").cast("binary"), F.lit(1), size * 32).alias("rgba"))
+
+
+_ROUND = {"png": "PNG", "tga": "TGA"}
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{fmt}' AS fmt, '{label}' AS label, 'done' AS status, true AS same FROM documents WHERE strlen(text) >= 32" for fmt, label in _ROUND.items()))
+def image_roundtrip(spark, sf_dir):
+    """Lossless formats: written, detected by content, read, and compared byte by byte."""
+    out = None
+    for fmt in _ROUND:
+        written = images.encode(_images(spark, sf_dir), fmt).drop("status", "error")
+        files = written.withColumn("label", detect.image_label(F.col("content"), F.lit(f"x.{fmt}"))).withColumnsRenamed({"width": "w", "height": "h", "rgba": "before"})
+        got = images.decode(files).select("doc_id", F.lit(fmt).alias("fmt"), "label", "status", ((F.col("rgba") == F.col("before")) & (F.col("w") == F.col("width"))).alias("same"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query()
+def image_thumbnails(spark, sf_dir):
+    """Images fitted into 4 x 16 pixels and written as PPM: size and fingerprint."""
+    source = _images(spark, sf_dir)
+    size = T.fitted_size(F.col("width"), F.col("height"), F.lit("fit"), F.lit(4), F.lit(16), F.lit(100))
+    small = images.transform(source, size["width"], size["height"])
+    return images.encode(small, "ppm").select("doc_id", "width", "height", "status", F.sha1("content").alias("print"))
+
+
+@query("""
+SELECT source, doc_id // 1000 AS volume, 'd' || doc_id || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS size, sha1(text) AS print FROM documents
+""")
+def zip_roundtrip(spark, sf_dir):
+    """Documents packed by source and listed again."""
+    d = table(spark, sf_dir, "documents").select(
+        "source", F.col("doc_id").alias("pos"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("unique_name"), F.col("text").cast("binary").alias("content")
+    )
+    packed = archive.pack_zip(d, ["source"]).withColumn("file_id", F.xxhash64("source", "volume"))
+    listed = archive.unzip(packed.select("file_id", "content")).select("file_id", "name", "size", F.sha1("content").alias("print"))
+    return listed.join(packed.select("file_id", "source", "volume"), "file_id").select("source", "volume", "name", "size", "print")
+
+
+@query(f"SELECT doc_id, i - 1 AS ord, ps[i] AS text FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM ({_SQL_PARTS}))")
+def docx_roundtrip(spark, sf_dir):
+    """Conversations as DOCX, and their paragraphs read back."""
+    written = archive.write_docx(blocks.text_blocks(_conversation_texts(spark, sf_dir)))
+    return archive.docx_paragraphs(written, "doc_id").select("doc_id", "ord", "text")
+
+
+@query("""
+SELECT CAST(n_nationkey AS BIGINT) AS file_id, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1 AS INT) AS row_ord,
+       c_custkey || '|' || c_name || '|' || c_mktsegment AS cells FROM customer JOIN nation ON c_nationkey = n_nationkey
+""")
+def xlsx_roundtrip(spark, sf_dir):
+    """Customers as one workbook a nation, and its rows read back."""
+    c = table(spark, sf_dir, "customer")
+    cells_ = c.select(F.col("c_nationkey").cast("long").alias("file_id"), F.col("c_custkey").alias("row_ord"), F.array(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("cells"))
+    back = archive.xlsx_cells(archive.write_xlsx(cells_))
+    return back.select("file_id", "row_ord", F.array_join("cells", "|").alias("cells"))
