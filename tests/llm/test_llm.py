@@ -458,3 +458,38 @@ def test_warc_round_trip_and_lookup(spark, monkeypatch):
     big = warc.write_archives(pages, common.Scratch(spark, "warc"), least_bytes=50)
     assert all(r["record_type"] == "response" for r in warc.read_archives(big).collect() if r["payload_bytes"] < 50)
     assert warc.read_archives(warc.write_archives(pages.limit(0), common.Scratch(spark, "warc"))).count() == 0
+
+
+# ---- pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage against a brute-force one on what its predecessor kept."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = {"en": ["the", "house", "and", "with", "tree", "king", "was", "there"], "fr": ["la", "maison", "avec", "arbre", "roi", "était", "une", "les"]}
+    rows = []
+    for i in range(60):
+        lang = "en" if i % 3 else "fr"
+        rows.append((i, " ".join(rng.choice(words[lang]) + rng.choice(["", "s", "x"]) for _ in range(60)), lang, "s1", 1))
+    item = " ".join(f"bench{i}" for i in range(15))
+    rows += [(100, rows[5][1], "en", "s1", 1), (101, rows[6][1] + " end", "fr", "s1", 1), (102, rows[7][1] + " " + item, "en", "s1", 1), (103, "", None, None, 0), (104, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, got, str(tmp_path))
+        assert got.columns == docs.columns
+        kept[name] = {r["doc_id"] for r in got.collect()}
+    every = {r[0] for r in rows}
+    assert kept["language_id"] == every - {103, 104}
+    assert kept["exact_dedup"] == kept["language_id"] - {5}
+    text = {r[0]: r[1] for r in rows}
+    ids = sorted(kept["exact_dedup"])
+    comp = _components([simhash.fingerprint(text[i].encode()) for i in ids], ids)
+    assert kept["simhash_near_dedup"] == set(comp)
+    assert kept["decontamination"] == kept["simhash_near_dedup"] - {102}
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in packed.collect()} == kept["decontamination"]
