@@ -192,3 +192,19 @@ def page_range(spec: Column, total: Column) -> Column:
     picked = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, pages))))
     found = F.when(F.size(parts) == 0, everything).when(readable, picked)
     return F.when(F.size(found) > 0, found)
+
+
+def svg_size(svg: Column, default: int = 1024) -> Column:
+    """(width, height) of an SVG: its sides in px or without a unit; a missing one by the viewBox; else the default."""
+    root = F.regexp_extract(svg, r"(?s)<svg\b([^>]*)>", 1)
+
+    def side(name: str) -> Column:
+        found = F.regexp_extract(root, rf'\b{name}="\s*([0-9.]+)(?:px)?\s*"', 1)
+        return F.when(found != "", found.cast("double"))
+
+    box = F.split(F.trim(F.regexp_extract(root, r'\bviewBox="([^"]*)"', 1)), r"[\s,]+")
+    vw, vh = F.get(box, F.lit(2)).cast("double"), F.get(box, F.lit(3)).cast("double")
+    w, h = side("width"), side("height")
+    width = F.coalesce(w, h * vw / vh, vw, F.lit(float(default)))
+    height = F.coalesce(h, w * vh / vw, vh, width)
+    return F.struct(half_up(width).cast("int").alias("width"), half_up(height).cast("int").alias("height"))

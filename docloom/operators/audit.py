@@ -118,3 +118,44 @@ def breadcrumb_schema(pages: DataFrame) -> DataFrame:
     per_page = breadcrumbs(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", item.alias("x")))).alias("xs"))
     listed = F.struct(F.lit("BreadcrumbList").alias("@type"), F.transform("xs", lambda x: x["x"]).alias("itemListElement"))
     return per_page.select("page_id", T.json_in_html(F.to_json(listed)).alias("schema"))
+
+
+def broken_anchors(pages: DataFrame) -> DataFrame:
+    """Internal links with an anchor that their target page has no id for: page_id, target, anchor."""
+    ids = pages.select(page_path(F.col("url")).alias("target"), F.explode(F.regexp_extract_all("html", F.lit(r'\sid="([^"]+)"'), F.lit(1))).alias("anchor")).distinct()
+    known = pages.select(page_path(F.col("url")).alias("target")).distinct()
+    asked = links(pages).where("kind = 'internal' AND anchor <> ''").select("page_id", "target", "anchor").distinct()
+    return asked.join(known, "target", "left_semi").join(ids, ["target", "anchor"], "left_anti").select("page_id", "target", "anchor")
+
+
+def meta_content(html: Column, name: str) -> Column:
+    """The content of the meta tag of a name or property; null without one."""
+    pattern = f'<meta (?:name|property)="{name}" content="([^"]*)"'
+    return F.when(F.rlike(html, F.lit(pattern)), F.regexp_extract(html, pattern, 1))
+
+
+def head_tags(pages: DataFrame, properties: tuple[str, ...] = ("description", "og:title", "og:image", "robots")) -> DataFrame:
+    """page_id, lang, and the number and names of the meta tags that a page has, without a tag for what is missing."""
+    html = F.col("html")
+    held = F.array_compact(F.array(*(F.when(meta_content(html, p).isNotNull(), F.lit(p)) for p in properties)))
+    return pages.select("page_id", F.regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1).alias("lang"), F.size(held).alias("n_meta"), F.array_join(held, ",").alias("held"))
+
+
+def unsafe_external_links(pages: DataFrame) -> DataFrame:
+    """External links without target="_blank" or rel="noopener": page_id and their number."""
+    tags = F.regexp_extract_all("html", F.lit(r'<a\b[^>]*href="https?:[^"]*"[^>]*>'), F.lit(0))
+    unsafe = F.filter(tags, lambda t: ~F.contains(t, F.lit('target="_blank"')) | ~F.contains(t, F.lit('rel="noopener"')))
+    return pages.select("page_id", F.size(unsafe).alias("n_unsafe")).where("n_unsafe > 0")
+
+
+def robots(site: str) -> str:
+    return f"User-agent: *\nAllow: /\n\nSitemap: {site.rstrip('/')}/sitemap.xml\n"
+
+
+def faq_schema(faq: DataFrame) -> DataFrame:
+    """Questions (page_id, ord, q, a) as JSON-LD, one text per page."""
+    answer = F.struct(F.lit("Answer").alias("@type"), F.col("a").alias("text"))
+    entry = F.struct(F.lit("Question").alias("@type"), F.col("q").alias("name"), answer.alias("acceptedAnswer"))
+    listed = F.array_sort(F.collect_list(F.struct("ord", entry.alias("x"))))
+    page = faq.groupBy("page_id").agg(listed.alias("xs"))
+    return page.select("page_id", T.json_in_html(F.to_json(F.struct(F.lit("FAQPage").alias("@type"), F.transform("xs", lambda x: x["x"]).alias("mainEntity")))).alias("schema"))

@@ -292,3 +292,37 @@ def render_markdown(blocks: DataFrame) -> DataFrame:
         .when(t == "hr", "---").when(t == "p", runs).otherwise("")
     )
     return _joined(blocks, line, "\n\n", "\n")
+
+
+# ---- placed text items
+
+
+def lines_of_items(items: DataFrame) -> DataFrame:
+    """Placed items (doc_id, ord, y, h, text, ends) to lines (doc_id, ord, y, h, text), a page being one document.
+
+    A line goes on while items stay within half a line height of its first item's y; ``ends`` closes it. The anchor is the
+    line's start, so the items of a page are folded in order.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("ord", F.col("y").cast("double").alias("y"), F.col("h").cast("double").alias("h"), "text", "ends")))
+    line = "struct<y:double,h:double,text:string>"
+    start = F.struct(F.array().cast(f"array<{line}>").alias("lines"), F.lit(False).alias("open"))
+
+    def step(acc: Column, item: Column) -> Column:
+        last = F.element_at(acc["lines"], -1)
+        goes_on = acc["open"] & (F.abs(last["y"] - item["y"]) <= item["h"] * 0.5)
+        longer = F.struct(last["y"].alias("y"), last["h"].alias("h"), F.concat(last["text"], item["text"]).alias("text"))
+        fresh = F.struct(item["y"].alias("y"), item["h"].alias("h"), item["text"].alias("text"))
+        done = F.slice(acc["lines"], F.lit(1), F.greatest(F.size(acc["lines"]) - 1, F.lit(0)))
+        lines = F.when(goes_on, F.concat(done, F.array(longer))).otherwise(F.concat(acc["lines"], F.array(fresh)))
+        return F.struct(lines.alias("lines"), (~item["ends"]).alias("open"))
+
+    folded = items.groupBy("doc_id").agg(ordered.alias("xs")).select("doc_id", F.aggregate("xs", start, step)["lines"].alias("ls"))
+    return folded.select("doc_id", F.posexplode("ls").alias("ord", "l")).select("doc_id", "ord", "l.*")
+
+
+def pages_text(paragraphs_: DataFrame) -> DataFrame:
+    """Paragraphs (doc_id, page, para, text) as one text a document; pages are parted by form feeds."""
+    per_page = paragraphs_.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("para", "text"))).alias("xs"))
+    texts = per_page.select("doc_id", "page", F.array_join(F.transform("xs", lambda x: x["text"]), "\n\n").alias("t"))
+    whole = texts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "t"))).alias("xs"))
+    return whole.select("doc_id", F.array_join(F.transform("xs", lambda x: x["t"]), "\n\n\f\n\n").alias("content"))

@@ -86,3 +86,29 @@ def totals(rows: DataFrame, by: list[str], size: str, done: Column) -> DataFrame
         F.count(F.lit(1)).alias("n"), F.sum(size).alias("total"), F.sum(F.when(done, F.col(size)).otherwise(0)).alias("total_done"),
         F.bool_and(done).alias("all_done"), F.bool_or(done).alias("any_done"),
     )
+
+
+def kept_formats(files: DataFrame, formats: DataFrame, label_col: str = "label", fallback: str = "png") -> DataFrame:
+    """files with out_format: the format they have if it can be written here, else the fallback."""
+    able = F.broadcast(formats.where("supported").select(F.upper("label").alias("f_label"), F.col("id").alias("f_id")))
+    same = F.upper(F.when(F.col(label_col) == "JPEG", "JPG").otherwise(F.col(label_col)))
+    return files.join(able, same == F.col("f_label"), "left").withColumn("out_format", F.coalesce("f_id", F.lit(fallback))).drop("f_label", "f_id")
+
+
+def first_supported(wishes: DataFrame, formats: DataFrame, id_col: str) -> DataFrame:
+    """The first wish (id, pos, format) of each id that can be written here, else png."""
+    able = F.broadcast(formats.where("supported").select(F.col("id").alias("format"), F.lit(True).alias("able")))
+    best = wishes.join(able, "format", "left").groupBy(id_col).agg(F.min(F.when(F.col("able"), F.struct("pos", "format")))["format"].alias("format"))
+    return best.select(id_col, F.coalesce("format", F.lit("png")).alias("format"))
+
+
+def formats_table(formats: DataFrame) -> DataFrame:
+    """Formats with their compression in words."""
+    kind = F.when(F.col("lossy") & F.col("alpha"), "lossy or lossless").when(F.col("lossy"), "lossy").otherwise("lossless")
+    return formats.select("id", "label", "alpha", kind.alias("compression"), "supported")
+
+
+def moved(queue: DataFrame, pos_col: str, at: int, step: int) -> DataFrame:
+    """queue with the rows at ``at`` and ``at + step`` changed over."""
+    p = F.col(pos_col)
+    return queue.withColumn(pos_col, F.when(p == at, at + step).when(p == at + step, at).otherwise(p))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import dimensions as D
 from ..functions import text as T
-from ..operators import archive, audit, blocks, cells, detect, images, pixels, relations
+from ..operators import archive, audit, blocks, cells, convert, detect, images, markdown, pixels, relations
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -677,3 +677,60 @@ def xlsx_roundtrip(spark, sf_dir):
     cells_ = c.select(F.col("c_nationkey").cast("long").alias("file_id"), F.col("c_custkey").alias("row_ord"), F.array(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("cells"))
     back = archive.xlsx_cells(archive.write_xlsx(cells_))
     return back.select("file_id", "row_ord", F.array_join("cells", "|").alias("cells"))
+
+
+# ---- conversion between kinds
+
+
+def _marked(spark, sf_dir) -> DataFrame:
+    """Documents as Markdown: the first line a heading, lines of some places items, bold or in a fence."""
+    line = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    i = F.col("i")
+    shown = F.when(i == 0, F.concat(F.lit("# "), "t")).when(i % 4 == 1, F.concat(F.lit("- "), "t")).when(i % 4 == 2, F.concat(F.lit("**"), F.replace("t", F.lit("*"), F.lit("")), F.lit("**"))).otherwise(F.col("t"))
+    return cells.gathered(line, ["doc_id"], "i", shown, "\n\n").withColumnRenamed("content", "text")
+
+
+@query()
+def markdown_blocks(spark, sf_dir):
+    b = markdown.markdown_blocks(_marked(spark, sf_dir))
+    return b.select("doc_id", "ord", "type", "level", blocks.runs_text(F.col("runs")).alias("shown"), F.size("runs").alias("n_runs"))
+
+
+@query()
+def convert_to_text(spark, sf_dir):
+    """Documents as text, Markdown and HTML files, all turned into HTML; others are refused by the gate."""
+    k = F.col("doc_id") % 4
+    name = F.concat(F.col("doc_id").cast("string"), F.when(k == 0, ".txt").when(k == 1, ".md").when(k == 2, ".htm").otherwise(".bin"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), name.alias("name"), F.col("text").cast("binary").alias("content"))
+    out = convert.convert(files, "html")
+    return out.select("file_id", "out_name", "status", "error", F.sha1("content").alias("print"))
+
+
+@query("""
+SELECT event_id AS file_id, 0 AS row_ord, i - 1 AS pos, ks[i] AS key, coalesce(json_extract_string(props, '$."' || ks[i] || '"'), '') AS value
+FROM (SELECT event_id, props, ks, unnest(range(1, len(ks) + 1)) AS i FROM (SELECT event_id, props, json_keys(props) AS ks FROM events))
+""")
+def json_table(spark, sf_dir):
+    return convert.json_table(table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), F.col("props").alias("text")))
+
+
+@query(r"""
+SELECT page_id, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang, CAST(len(h) AS INT) AS n_meta, array_to_string(h, ',') AS held
+FROM (SELECT page_id, html, list_filter(['description', 'og:title', 'og:image', 'robots'], lambda p: regexp_matches(html, '<meta (?:name|property)="' || p || '" content="([^"]*)"')) AS h FROM pages)
+""")
+def head_tags(spark, sf_dir):
+    return audit.head_tags(table(spark, sf_dir, "pages"))
+
+
+@query(rf"""
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(max(n) AS BIGINT) AS longest FROM (
+  SELECT doc_id, line, CAST(sum(length(t)) AS BIGINT) AS n FROM (SELECT doc_id, (i // 3) AS line, ws[i + 1] AS t
+    FROM (SELECT doc_id, ws, unnest(range(0, len(ws))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ws FROM documents))) GROUP BY ALL) GROUP BY doc_id
+""")
+def item_lines(spark, sf_dir):
+    """Lines of documents as placed items, three to a line of the page: lines and the longest."""
+    item = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    i = F.col("ord")
+    placed = item.select("doc_id", "ord", (F.lit(5000) - F.floor(i / 3) * 20 - i % 3).alias("y"), F.lit(14).alias("h"), "text", F.lit(False).alias("ends"))
+    lines = blocks.lines_of_items(placed)
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max(F.length("text")).cast("long").alias("longest"))
