@@ -4,13 +4,15 @@ Every text is parsed in rounds. A round names maximal runs of a symbol and then
 one half of the alphabet and the right one from the other; names are hashes of what they stand for, so that all tasks
 name alike without exchanging a dictionary. Each symbol knows its context: the words that decide it. A symbol whose
 context lies within a window is an interior symbol of that window, and every occurrence of the window has it. Each
-window of WINDOW words is filed under its first interior symbol of the highest round. (Without long runs three rounds
-always leave some: they cost at most 1 + 2 + 4 words at either edge. Windows within a run fall back to single words.)
+window of WINDOW words is filed under one interior symbol of the highest round that has any: that of least hash, so that
+neighbouring windows mostly share it. (Without long runs three rounds always leave some: they cost at most 1 + 2 + 4 words
+at either edge. Windows within a run fall back to earlier rounds and at last to single words.)
 
-A window can only repeat if its symbol does, so symbols that occur once are done with. For the others Spark counts
-96-bit hashes of the whole windows, takes the earliest place of each, and marks every later one. Counting comes before
-meeting: a passage held by a third of all documents reaches a task as one row per map task; joins back on such keys are
-skewed joins between written tables, which Spark splits.
+A window can only repeat if its symbol and that symbol's context do, so what occurs once is done with. For the others
+Spark counts 96-bit hashes, first of whole stretches of windows that are filed together and then, where a stretch is no
+copy, of its windows; it takes the earliest place of each, and marks every later one. Counting comes before meeting: a
+passage held by a third of all documents reaches a task as one row per map task; joins back on such keys are skewed joins
+between written tables, which Spark splits.
 
 Null texts have no words. Null doc_ids count as smaller than any id. Rows that repeat a doc_id are told apart by their
 texts, the order among them being that of a hash; rows equal in both are judged as one document each. Texts of less than
@@ -184,28 +186,77 @@ def _filed(batches: Iterator) -> Iterator:
         )
 
 
+_STRETCHES = "h long, g int, doc_id long, tag long, start int, n int, windows binary"
+_WINDOW = np.dtype([("a", "<i8"), ("b", "<i4")])
+
+
+def _stretch_hashes(a: np.ndarray, b: np.ndarray, within: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of stretches from the hashes of their windows and the windows' places within."""
+    if not len(first):
+        return np.empty(0, np.int64), np.empty(0, np.int32)
+    turn = _mix(within.astype(np.uint64) + _salt(8)) | np.uint64(1)
+    h = np.add.reduceat(a.view(np.uint64) * turn, first)
+    g = np.add.reduceat(_mix(b.astype(np.uint64) + a.view(np.uint64)) * turn, first)
+    return _mix(h).view(np.int64), (_mix(g) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _hashed(batches: Iterator) -> Iterator:
+    """Each stretch with its hash and with those of its windows."""
     import pyarrow as pa
 
     for (ids, tags, parts), hashes, offsets in _chunks(batches, ["doc_id", "tag", "parts"]):
         doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         start = np.array([x["start"] for p in parts for x in p], np.int64)
         n = np.array([x["n"] for p in parts for x in p], np.int64)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        doc, start = np.repeat(doc, n), np.repeat(start, n) + within
-        a, b = window_hashes(hashes, offsets[doc] + start)
+        first = np.cumsum(n) - n
+        within = np.arange(n.sum()) - np.repeat(first, n)
+        a, b = window_hashes(hashes, np.repeat(offsets[doc] + start, n) + within)
+        h, g = _stretch_hashes(a, b, within, first)
+        held = np.empty(len(a), _WINDOW)
+        held["a"], held["b"] = a, b
+        bounds = (np.append(first, len(a)) * _WINDOW.itemsize).astype(np.int32)
+        windows = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(held.tobytes())])
         row = pa.array(doc)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a), pa.array(b), pa.array(ids, pa.int64()).take(row), pa.array(tags, pa.int64()).take(row), pa.array(start.astype(np.int32))],
+            [
+                pa.array(h), pa.array(g), pa.array(ids, pa.int64()).take(row), pa.array(tags, pa.int64()).take(row),
+                pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), windows,
+            ],
+            ["h", "g", "doc_id", "tag", "start", "n", "windows"],
+        )
+
+
+def _unpacked(batches: Iterator) -> Iterator:
+    """A row for each window of a stretch."""
+    import pyarrow as pa
+
+    for batch in batches:
+        n = batch.column("n").to_numpy().astype(np.int64)
+        held = np.frombuffer(b"".join(batch.column("windows").to_pylist()), _WINDOW)
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        row = pa.array(np.repeat(np.arange(len(n)), n))
+        start = np.repeat(batch.column("start").to_numpy(), n) + within
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(held["a"].copy()), pa.array(held["b"].copy()), batch.column("doc_id").take(row), batch.column("tag").take(row),
+                pa.array(start.astype(np.int32)),
+            ],
             ["a", "b", "doc_id", "tag", "start"],
         )
 
 
-def cut_words(words: list[bytes], starts) -> list[bytes]:
-    """The words outside of the windows at starts."""
+def _firsts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The earliest place of what occurs more than once."""
+    found = rows.groupBy(*by).agg(F.min(F.struct("doc_id", "tag", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
+    return found.where("c > 1").drop("c")
+
+
+def cut_words(words: list[bytes], parts: list[dict]) -> list[bytes]:
+    """The words outside of the windows of the stretches."""
     edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.asarray(starts) + WINDOW, -1)
+    start, n = np.array([(p["start"], p["n"]) for p in parts]).T
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n + (WINDOW - 1), -1)
     return [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
 
 
@@ -220,7 +271,7 @@ def _texts(documents: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def repeated_windows(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, tag and the sorted starts of all windows whose word sequence also starts earlier."""
+    """doc_id, tag and the stretches (start, n) of windows whose word sequence also starts earlier, each window once."""
     scratch = scratch or Scratch(documents.sparkSession, "substrings")
     texts = _texts(documents, scratch)
     row = ["doc_id", "tag"]
@@ -231,24 +282,30 @@ def repeated_windows(documents: DataFrame, scratch: Scratch | None = None) -> Da
     scratch.drop("filed")
     scratch.drop("shared")
     same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("tag") == F.col("p_tag"))
-    windows = scratch.write(
-        texts.join(asked, same).select(*row, "parts", "text").mapInArrow(_hashed, "a long, b int, doc_id long, tag long, start int"), "windows"
-    )
+    stretches = scratch.write(texts.join(asked, same).select(*row, "parts", "text").mapInArrow(_hashed, _STRETCHES), "stretches")
     scratch.drop("asked")
     place = F.struct("doc_id", "tag", "start")
-    firsts = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    firsts = scratch.write(firsts.select("a", "b", "first"), "firsts")
-    later = windows.join(firsts, ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
-    found = scratch.write(later.groupBy(*row).agg(F.array_sort(F.collect_set("start")).alias("starts")), "repeated")
-    scratch.drop("windows")
-    scratch.drop("firsts")
+    # whole stretches first: the windows of a later one all start earlier elsewhere
+    by = ["h", "g", "n"]
+    firsts = scratch.write(_firsts(stretches.select(*by, *row, "start"), by), "stretch_firsts")
+    copy = F.coalesce(~place.eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
+    judged = stretches.join(firsts, by, "left").select(*row, "start", "n", copy.alias("copy"), F.when(~copy, F.col("windows")).alias("windows"))
+    judged = scratch.write(judged, "judged")
+    scratch.drop("stretches")
+    # then window by window among the others
+    windows = judged.where("NOT copy").drop("copy").mapInArrow(_unpacked, "a long, b int, doc_id long, tag long, start int")
+    firsts = scratch.write(_firsts(windows, ["a", "b"]), "window_firsts")
+    later = windows.join(firsts, ["a", "b"]).where(~place.eqNullSafe(F.col("first"))).select(*row, "start", F.lit(1).alias("n"))
+    every = judged.where("copy").select(*row, "start", "n").union(later)
+    found = scratch.write(every.groupBy(*row).agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("parts")), "repeated")
+    scratch.drop("judged")
     return found
 
 
 def deduplicate(documents: DataFrame, with_text: bool = False) -> DataFrame:
     """Per row of documents: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
     scratch = Scratch(documents.sparkSession, "substrings")
-    found = repeated_windows(documents, scratch).select(F.col("doc_id").alias("p_id"), F.col("tag").alias("p_tag"), "starts")
+    found = repeated_windows(documents, scratch).select(F.col("doc_id").alias("p_id"), F.col("tag").alias("p_tag"), "parts")
     same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("tag") == F.col("p_tag"))
 
     def cut(batches: Iterator) -> Iterator:
@@ -256,9 +313,9 @@ def deduplicate(documents: DataFrame, with_text: bool = False) -> DataFrame:
 
         for batch in batches:
             out = []
-            for doc_id, text, starts in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("starts").to_pylist()):
+            for doc_id, text, parts in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), batch.column("parts").to_pylist()):
                 words = text.split()
-                kept = cut_words(words, starts) if starts else words
+                kept = cut_words(words, parts) if parts else words
                 joined = b" ".join(kept)
                 out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), *([joined.decode()] if with_text else [])))
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
@@ -266,7 +323,7 @@ def deduplicate(documents: DataFrame, with_text: bool = False) -> DataFrame:
             cols = zip(*out) if out else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    joined = _texts(documents, Scratch(documents.sparkSession, "substrings")).join(found, same, "left").select("doc_id", "text", "starts")
+    joined = _texts(documents, Scratch(documents.sparkSession, "substrings")).join(found, same, "left").select("doc_id", "text", "parts")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else ""))
 
 
