@@ -68,8 +68,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = scratch.write(met.groupBy("key").agg(F.collect_set("fp").alias("fps")), "hits")
 
     # 2. the windows around them, word for word
-    n_hits = hits.count()
-    found = keyed.join(F.broadcast(hits) if n_hits <= BROADCAST_ROWS // 16 else hits, "key").select(
+    n_met = hits.agg(F.sum(F.size("fps") + 2)).first()[0] or 0  # in longs, keys included
+    found = keyed.join(F.broadcast(hits) if n_met <= BROADCAST_ROWS else hits, "key").select(
         "key", "fps", exact_words(F.col("text")).alias("w"), loose_words(F.col("text")).alias("v")
     )
 

@@ -106,7 +106,8 @@ def log_likelihoods(rows: DataFrame, weights: np.ndarray) -> DataFrame:
             for i, text in enumerate(utf8(batch, "text")):
                 grams = trigrams(text)
                 if len(grams):
-                    out[i] = table[grams].mean(0) * min(len(grams), EFFECTIVE)
+                    total = sum(table[grams[j : j + 500_000]].sum(0) for j in range(0, len(grams), 500_000))
+                    out[i] = total / len(grams) * min(len(grams), EFFECTIVE)
                     spoken[i] = True
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(list(out), pa.list_(pa.float64())), pa.array(spoken)], [*kept, "ll", "spoken"]

@@ -164,11 +164,13 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[Model | None, float]:
     sample = scratch.write(
         least(drawn.where("toxic = 1"), MOST_POSITIVE, 1)
         .union(least(drawn, MOST_UNLABELLED, 2))
-        .union(least(drawn.where("toxic = 0"), MOST_LABELLED, 0)),
+        .union(least(drawn.where("toxic = 0"), MOST_LABELLED, 0))
+        .distinct(),
         "sample",
     )
     texts = documents.select(F.col("doc_id").alias("d_id"), "text")
-    got = features(texts.join(F.broadcast(sample), F.col("d_id") == F.col("doc_id"))).collect()
+    most = MOST_POSITIVE + MOST_UNLABELLED + MOST_LABELLED  # holds also where one id has many rows
+    got = features(texts.join(F.broadcast(sample), F.col("d_id") == F.col("doc_id"))).limit(most).collect()
     of = {k: _Sparse([r["words"] for r in got if r["label"] == k]) for k in (0, 1, 2)}
     if not of[1].n or not of[2].n:
         return None, float(prior)
