@@ -10,7 +10,7 @@ FORMATS = (
     ("jpeg", "JPG", "jpg", "image/jpeg", False, True, False),
     ("webp", "WEBP", "webp", "image/webp", True, True, False),
     ("avif", "AVIF", "avif", "image/avif", True, True, False),
-    ("gif", "GIF", "gif", "image/gif", True, False, True),
+    ("gif", "GIF", "gif", "image/gif", True, False, False),
     ("bmp", "BMP", "bmp", "image/bmp", False, False, True),
     ("ico", "ICO", "ico", "image/x-icon", True, False, True),
     ("tiff", "TIFF", "tiff", "image/tiff", True, False, True),

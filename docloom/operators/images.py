@@ -1,7 +1,7 @@
 """Images as rows: reading, resizing, turning, flattening and writing, with a status per row.
 
 An image is (width, height, rgba): pixels row by row, four bytes each, straight alpha. The formats are small containers
-around such rows: PNG, BMP, PNM and TGA. What has no codec here comes out as an error row, never as another format.
+around such rows: PNG, BMP, PNM, TGA, TIFF and ICO. What has no codec here comes out as an error row, never as another format.
 """
 
 from __future__ import annotations
@@ -138,6 +138,47 @@ def _read_tga(data: bytes) -> np.ndarray:
     return full[:, ::-1] if flags & 16 else full
 
 
+def _read_tiff(data: bytes) -> np.ndarray:
+    e = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack_from(e + "I", data, 4)[0]
+    sizes, tags = {1: "B", 3: "H", 4: "I"}, {}
+    for i in range(struct.unpack_from(e + "H", data, at)[0]):
+        tag, kind, n = struct.unpack_from(e + "HHI", data, at + 2 + 12 * i)
+        if kind in sizes:
+            one = sizes[kind]
+            place = at + 10 + 12 * i
+            if n * struct.calcsize(one) > 4:
+                place = struct.unpack_from(e + "I", data, place)[0]
+            tags[tag] = struct.unpack_from(f"{e}{n}{one}", data, place)
+    w, h, k = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
+    packing, photometric = tags.get(259, (1,))[0], tags.get(262, (1,))[0]
+    if set(tags.get(258, (8,))) != {8} or packing not in (1, 32773) or photometric > 2 or tags.get(284, (1,))[0] != 1:
+        raise ValueError("TIFF of another kind")
+    body = b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279]))
+    if packing == 32773:
+        body = _unpack_bits(body)
+    px = np.frombuffer(body, np.uint8, w * h * k).reshape(h, w, k)
+    full = np.full((h, w, 4), 255, np.uint8)
+    full[..., :3] = px[..., :3] if k >= 3 else 255 - px[..., :1] if photometric == 0 else px[..., :1]
+    if k in (2, 4):
+        full[..., 3] = px[..., -1]
+    return full
+
+
+def _unpack_bits(data: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            if n > 128:
+                out += data[at + 1 : at + 2] * (257 - n)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
 # ---- writers: pixels to bytes
 
 
@@ -185,8 +226,49 @@ def _write_pgm(px: np.ndarray) -> bytes:
     return f"P5\n{w} {h}\n255\n".encode() + ((f[..., 0] * 299 + f[..., 1] * 587 + f[..., 2] * 114 + 500) // 1000).astype(np.uint8).tobytes()
 
 
-READERS: dict[str, Callable[[bytes], np.ndarray]] = {"PNG": _read_png, "BMP": _read_bmp, "PNM": _read_pnm, "TGA": _read_tga}
-WRITERS: dict[str, Callable[[np.ndarray], bytes]] = {"png": _write_png, "bmp": _write_bmp, "tga": _write_tga, "ppm": _write_ppm, "pgm": _write_pgm}
+def _write_tiff(px: np.ndarray) -> bytes:
+    h, w, _ = px.shape
+    tags = [
+        (256, 4, 1, w), (257, 4, 1, h), (258, 3, 4, 182), (259, 3, 1, 1), (262, 3, 1, 2), (273, 4, 1, 206), (277, 3, 1, 4), (278, 4, 1, h),
+        (279, 4, 1, w * h * 4), (282, 5, 1, 190), (283, 5, 1, 198), (284, 3, 1, 1), (296, 3, 1, 2), (338, 3, 1, 2),
+    ]
+    ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + bytes(4)
+    return b"II*\0" + struct.pack("<I", 8) + ifd + struct.pack("<4H4I", 8, 8, 8, 8, 72, 1, 72, 1) + px.tobytes()
+
+
+def _write_ico(px: np.ndarray, sides: tuple[int, ...] = (16, 32, 48, 256)) -> bytes:
+    entries, bodies, at = b"", b"", 6 + 16 * len(sides)
+    for side in sorted(sides):
+        body = _write_png(contained(px, side))
+        entries += struct.pack("<BBBBHHII", side % 256, side % 256, 0, 0, 1, 32, len(body), at)
+        bodies += body
+        at += len(body)
+    return struct.pack("<HHH", 0, 1, len(sides)) + entries + bodies
+
+
+def contained(px: np.ndarray, side: int) -> np.ndarray:
+    """The image in the middle of a transparent square."""
+    k = min(side / px.shape[1], side / px.shape[0])
+    small = resample(px, max(1, round(px.shape[1] * k)), max(1, round(px.shape[0] * k)))[:side, :side]
+    out = np.zeros((side, side, 4), np.uint8)
+    y, x = (side - small.shape[0]) // 2, (side - small.shape[1]) // 2
+    out[y : y + small.shape[0], x : x + small.shape[1]] = small
+    return out
+
+
+def _read_ico(data: bytes) -> np.ndarray:
+    """The largest PNG entry."""
+    n = struct.unpack_from("<H", data, 4)[0]
+    entries = [struct.unpack_from("<BBBBHHII", data, 6 + 16 * i) for i in range(n)]
+    for e in sorted(entries, key=lambda e: -(e[0] or 256)):
+        body = data[e[7] : e[7] + e[6]]
+        if body[:4] == b"\x89PNG":
+            return _read_png(body)
+    raise ValueError("ICO without a PNG entry")
+
+
+READERS: dict[str, Callable[[bytes], np.ndarray]] = {"PNG": _read_png, "BMP": _read_bmp, "PNM": _read_pnm, "TGA": _read_tga, "TIFF": _read_tiff, "ICO": _read_ico}
+WRITERS: dict[str, Callable[[np.ndarray], bytes]] = {"png": _write_png, "bmp": _write_bmp, "tga": _write_tga, "ppm": _write_ppm, "pgm": _write_pgm, "tiff": _write_tiff, "ico": _write_ico}
 
 
 def register(kind: str, reader: Callable | None = None, writer: Callable | None = None) -> None:

@@ -76,8 +76,8 @@ def test_formats(spark):
     f = D.formats(spark)
     files = spark.createDataFrame([(1, "PNG"), (2, "JPEG"), (3, "HEIC"), (4, "BMP")], "id long, label string")
     assert {r["id"]: r["out_format"] for r in relations.kept_formats(files, f).collect()} == {1: "png", 2: "png", 3: "png", 4: "bmp"}
-    wishes = spark.createDataFrame([(1, 0, "webp"), (1, 1, "gif"), (1, 2, "bmp"), (2, 0, "avif")], "id long, pos int, format string")
-    assert rows_of(relations.first_supported(wishes, f, "id")) == [(1, "gif"), (2, "png")]
+    wishes = spark.createDataFrame([(1, 0, "webp"), (1, 1, "tiff"), (1, 2, "bmp"), (2, 0, "avif")], "id long, pos int, format string")
+    assert rows_of(relations.first_supported(wishes, f, "id")) == [(1, "tiff"), (2, "png")]
     assert relations.formats_table(f).where("compression = 'lossless'").count() == 10
     queue = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "pos int, name string")
     assert rows_of(relations.moved(queue, "pos", 1, 1)) == [(0, "a"), (1, "c"), (2, "b")]

@@ -147,7 +147,7 @@ def _px(r):
     return np.frombuffer(r["rgba"], np.uint8).reshape(r["height"], r["width"], 4)
 
 
-@pytest.mark.parametrize("fmt,label,alpha", [("png", "PNG", True), ("tga", "TGA", True), ("bmp", "BMP", False), ("ppm", "PNM", False), ("pgm", "PNM", False)])
+@pytest.mark.parametrize("fmt,label,alpha", [("png", "PNG", True), ("tga", "TGA", True), ("tiff", "TIFF", True), ("bmp", "BMP", False), ("ppm", "PNM", False), ("pgm", "PNM", False)])
 def test_round_trips(spark, probe, fmt, label, alpha):
     written = images.encode(_frame(spark, probe), fmt)
     found = written.withColumn("label", detect.image_label(F.col("content"), F.lit(f"a.{fmt}"))).select("id", "label", "content")
@@ -167,6 +167,7 @@ def test_decoders_of_given_bytes(spark):
     png = b"\x89PNG\r\n\x1a\n" + images._chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 5, 8, 2, 0, 0, 0)) + images._chunk(b"IDAT", zlib.compress(filtered)) + images._chunk(b"IEND", b"")
     rows = [
         (1, "TGA", tga), (2, "PNM", b"P1 # c\n3 1\n101"), (3, "PNM", b"P4\n9 1\n\x80\x80"), (4, "PNM", b"P5 1 1 65535\n\xff\xff"), (5, "PNM", b"P3 1 1 10 10 5 0"),
+        (11, "TIFF", b"MM\0*\0\0\0\x08\0\x07" + b"".join(struct.pack(">HHI", t, k, 1) + (struct.pack(">HH", v, 0) if k == 3 else struct.pack(">I", v)) for t, k, v in ((256, 3, 2), (257, 3, 1), (259, 3, 32773), (262, 3, 2), (273, 4, 98), (277, 3, 3), (279, 4, 7))) + bytes(4) + b"\xfe\x09\x02\1\2\3"),
         (6, "PNM", b"P6 nonsense"), (7, "WEBP", b"RIFF"), (8, "PNG", b"\x89PNG"), (9, "PNG", png), (10, "BMP", None),
     ]
     got = {r["id"]: r for r in images.decode(spark.createDataFrame(rows, "id int, label string, content binary")).collect()}
@@ -174,6 +175,7 @@ def test_decoders_of_given_bytes(spark):
     assert _px(got[2])[0, :, 0].tolist() == [0, 255, 0] and _px(got[3])[0, :, 0].tolist() == [0] + [255] * 7 + [0]
     assert _px(got[4])[0, 0].tolist() == [255] * 4 and _px(got[5])[0, 0].tolist() == [255, 127, 0, 255]
     assert all(got[i]["status"] == "error" and got[i]["error"] for i in (6, 7, 8, 10))
+    assert _px(got[11])[0, :, :3].tolist() == [[9, 9, 9], [1, 2, 3]]
     assert _px(got[9])[:, :, 0].tolist() == [[10, 5], [1, 2], [2, 3], [3, 5], [6, 9]]
 
 
@@ -193,6 +195,8 @@ def test_transforms(spark, probe):
     uri = bytes(images.encode(src, "datauri").first()["content"])
     svg = bytes(images.encode(src, "svg").first()["content"])
     assert uri.startswith(b"data:image/png;base64,iVBOR") and b"\n" not in uri and b'width="40"' in svg
+    icon = images.encode(src, "ico").withColumn("label", F.lit("ICO")).select("label", "content")
+    assert _px(images.decode(icon).first()).shape == (256, 256, 4) and struct.unpack_from("<HHH", bytes(icon.first()["content"])) == (0, 1, 4)
     assert images.encode(src, "webp").first()["error"] == "no writer for webp"
 
 
