@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from .scale import rejoined
 
 # Patterns that point to private data.
 PRIVATE = {"email": r"[A-Za-z0-9_.\-]+@[A-Za-z0-9_\-]+\.[A-Za-z]{2,}", "digits10": r"\b[0-9]{10}\b", "phone": r"\+?[0-9][0-9\-]{8,}[0-9]"}
@@ -24,11 +25,11 @@ def duplicate_fragments(pages: DataFrame, tags: tuple[str, ...] = ("p", "li"), l
 def title_quality(pages: DataFrame, least: int = 15, most: int = 70) -> DataFrame:
     """Title, its length, whether the length is right and how many pages have the same.
 
-    Titles are counted by group and joined back, so that a title on a third of all pages is no single task.
+    Titles are counted with partial sums and joined back spread out, so that a title on a third of all pages is no single task.
     """
     titled = pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
     same = titled.groupBy("title").agg(F.count(F.lit(1)).alias("n_same"))
-    return titled.join(same, "title").select(
+    return rejoined(titled, same, "title", "page_id").select(
         "page_id", "title", F.length("title").alias("title_length"), F.length("title").between(least, most).alias("length_ok"), "n_same"
     )
 

@@ -80,7 +80,12 @@ def markdown_row(values: list[Column]) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
 
+def part(order: Column, most: int = 1000) -> Column:
+    """The part of a table that a row with this whole-number order goes to."""
+    return F.floor(order / F.lit(most)).cast("long")
+
+
 def gathered(rows: DataFrame, by: list[str], order: str, line: Column, sep: str = "\n", before: str = "", after: str = "") -> DataFrame:
-    """The lines of each group in order as one text."""
+    """The lines of each group in order as one text. A group is one file, so callers cut large tables into parts (see ``part``)."""
     lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("s"))))
     return rows.groupBy(*by).agg(F.concat(F.lit(before), F.array_join(F.transform(lines, lambda x: x["s"]), sep), F.lit(after)).alias("content"))

@@ -92,7 +92,7 @@ def json_table(files: DataFrame) -> DataFrame:
 
 
 def csv_files(rows: DataFrame, by: str, order: str, values: list[Column], sep: str = ";") -> DataFrame:
-    """A CSV text per group with a byte order mark; rows without any value are left out."""
+    """A CSV text per group (a sheet, or a part of one) with a byte order mark; rows without any value are left out."""
     full = rows.where(F.array_join(F.array(*(F.coalesce(v.cast("string"), F.lit("")) for v in values)), "") != "")
     return cells.gathered(full, [by], order, cells.csv_line(values, sep), "\n", "﻿")
 

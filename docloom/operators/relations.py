@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..functions.dimensions import rules
+from .scale import before
 
 
 def related_items(items: DataFrame, id_col: str, related_col: str) -> DataFrame:
@@ -55,12 +56,12 @@ def unique_names(files: DataFrame, batch: str, order: str, name: str) -> DataFra
     """
     given = F.when(F.coalesce(F.col(name), F.lit("")) == "", F.lit("image")).otherwise(F.col(name))
     base, ext = F.regexp_extract(given, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(given, r"^.+?(\.[^.]*)$", 1)
-    n = F.row_number().over(Window.partitionBy(batch, F.lower(given)).orderBy(order))
     numbered = r"^(.+) \((\d{1,9})\)(\.[^.]*)?$"
     borne = files.select(F.col(batch), F.lower(given).alias("g")).where(F.rlike("g", F.lit(numbered)))
     key = F.concat(F.regexp_extract("g", numbered, 1), F.regexp_extract("g", numbered, 3))
     taken = borne.groupBy(batch, key.alias("given_key")).agg(F.collect_set(F.regexp_extract("g", numbered, 2).cast("int")).alias("taken"))
-    rows = files.withColumns({"given_key": F.lower(given), "nth": n, "base": base, "ext": ext}).join(taken, [batch, "given_key"], "left")
+    rows = before(files.withColumns({"given_key": F.lower(given), "base": base, "ext": ext}), [batch, "given_key"], order, F.lit(1), "nth")
+    rows = rows.withColumn("nth", (F.col("nth") + 1).cast("int")).join(taken, [batch, "given_key"], "left")
     free = F.array_except(F.sequence(F.lit(2), F.col("nth") + F.size(F.coalesce("taken", F.array().cast("array<int>")))), F.coalesce("taken", F.array().cast("array<int>")))
     k = F.element_at(free, F.col("nth") - 1).cast("string")
     unique = F.when(F.col("nth") == 1, given).otherwise(F.concat("base", F.lit(" ("), k, F.lit(")"), "ext"))
@@ -68,9 +69,8 @@ def unique_names(files: DataFrame, batch: str, order: str, name: str) -> DataFra
 
 
 def byte_offsets(files: DataFrame, batch: str, order: str, size: Column) -> DataFrame:
-    """files with at: the bytes before it in its batch."""
-    before = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    """files with at: the bytes before it in its batch, by a whole-number order."""
+    return before(files, [batch], order, size, "at")
 
 
 def zip_layout(files: DataFrame, batch: str, order: str, name: str, size: str) -> DataFrame:

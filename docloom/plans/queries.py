@@ -357,27 +357,29 @@ def json_rows(spark, sf_dir):
 
 
 @query("""
-SELECT r_name, '<table>' || string_agg('<tr><td>' || c_custkey || '</td><td>' || c_name || '</td></tr>', '' ORDER BY c_custkey) || '</table>' AS content
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
+SELECT r_name, c_custkey // 1000 AS part, '<table>' || string_agg('<tr><td>' || c_custkey || '</td><td>' || c_name || '</td></tr>', '' ORDER BY c_custkey) || '</table>' AS content
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL
 """)
 def html_table(spark, sf_dir):
     rows = _customers_by_region(spark, sf_dir)
-    return cells.gathered(rows, ["r_name"], "c_custkey", cells.html_row([F.col("c_custkey"), F.col("c_name")]), "", "<table>", "</table>")
+    return cells.gathered(rows, ["r_name", "part"], "c_custkey", cells.html_row([F.col("c_custkey"), F.col("c_name")]), "", "<table>", "</table>")
 
 
 @query("""
-SELECT r_name, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' |', chr(10) ORDER BY c_custkey) AS content
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
+SELECT r_name, c_custkey // 1000 AS part, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' |', chr(10) ORDER BY c_custkey) AS content
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL
 """)
 def markdown_table(spark, sf_dir):
     rows = _customers_by_region(spark, sf_dir)
     head = "| key | name |\n| --- | --- |\n"
-    return cells.gathered(rows, ["r_name"], "c_custkey", cells.markdown_row([F.col("c_custkey"), F.col("c_name")]), "\n", head)
+    return cells.gathered(rows, ["r_name", "part"], "c_custkey", cells.markdown_row([F.col("c_custkey"), F.col("c_name")]), "\n", head)
 
 
 def _customers_by_region(spark, sf_dir) -> DataFrame:
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "c_custkey", "c_name")
+    return table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "r_name", cells.part(F.col("c_custkey")).alias("part"), "c_custkey", "c_name"
+    )
 
 
 _SQL_LINE = "CASE p_partkey % 4 WHEN 0 THEN p_name || ';' || p_brand || ';' || p_size WHEN 1 THEN p_name || ',' || p_brand WHEN 2 THEN p_name || chr(9) || p_brand || ',' ELSE p_name || ';' || p_brand || ',' END"
@@ -668,13 +670,13 @@ def docx_roundtrip(spark, sf_dir):
 
 
 @query("""
-SELECT CAST(n_nationkey AS BIGINT) AS file_id, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1 AS INT) AS row_ord,
+SELECT CAST(n_nationkey + 100 * (c_custkey // 1000) AS BIGINT) AS file_id, CAST(row_number() OVER (PARTITION BY n_nationkey, c_custkey // 1000 ORDER BY c_custkey) - 1 AS INT) AS row_ord,
        c_custkey || '|' || c_name || '|' || c_mktsegment AS cells FROM customer JOIN nation ON c_nationkey = n_nationkey
 """)
 def xlsx_roundtrip(spark, sf_dir):
-    """Customers as one workbook a nation, and its rows read back."""
+    """Customers as workbooks by nation and thousand, and their rows read back."""
     c = table(spark, sf_dir, "customer")
-    cells_ = c.select(F.col("c_nationkey").cast("long").alias("file_id"), F.col("c_custkey").alias("row_ord"), F.array(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("cells"))
+    cells_ = c.select((F.col("c_nationkey") + 100 * cells.part(F.col("c_custkey"))).alias("file_id"), F.col("c_custkey").alias("row_ord"), F.array(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("cells"))
     back = archive.xlsx_cells(archive.write_xlsx(cells_))
     return back.select("file_id", "row_ord", F.array_join("cells", "|").alias("cells"))
 

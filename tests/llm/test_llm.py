@@ -257,6 +257,19 @@ def test_substring_dedup(spark, documents, empty):
     assert substrings.deduplicate(empty).count() == 0
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 50)
+    rng = random.Random(3)
+    texts = ["", " ", "a", "\u00a0é\x1c b\x0bc", "x" * 300, "y" * 33 + " " + "y" * 34, " ".join(rng.choice("ab") * rng.randrange(1, 70) for _ in range(400))]
+    texts += ["".join(rng.choice("abé \n\t") for _ in range(rng.randrange(300))) for _ in range(50)]
+    data = [t.encode() for t in texts]
+    hashes, offsets = substrings.word_hashes(data)
+    words = [w for t in data for w in t.split()]
+    assert np.diff(offsets).tolist() == [len(t.split()) for t in data] and len(hashes) == len(words)
+    of = {}
+    assert all(of.setdefault(w, h) == h for w, h in zip(words, hashes.tolist())) and len(set(of.values())) == len(of)
+
+
 def test_windows_are_filed_alike_wherever_they_stand():
     rng = np.random.default_rng(4)
     for trial in range(60):
