@@ -12,6 +12,7 @@ are broken by doc_id, piece and checksum; equal rows may swap places. An empty t
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +41,13 @@ def default_vocabulary() -> str:
 _TAIL = b".,;:!?%&*#$"
 
 
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level BPE shows each byte: itself if it prints in Latin-1, else the next from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class WordTokenizer:
     """Ids of a text as bytes of little-endian u32, word by word.
 
@@ -52,13 +60,28 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.young: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        """Words of Latin letters are one run that normalising only lower-cases, so they go to the model straight away."""
+        out, rest = [b""] * len(texts), []
+        for i, t in enumerate(texts):
+            word = t.decode()
+            if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
+                word = word.lower()
+                if not word.isascii():
+                    word = "".join(map(self.letters.__getitem__, word.encode()))
+                out[i] = array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
+            else:
+                rest.append(i)
+        if rest:
+            found = self.tokenizer.encode_batch_fast([texts[i].decode() for i in rest], add_special_tokens=False)
+            for i, e in zip(rest, found):
+                out[i] = array("I", e.ids).tobytes()
+        return out
 
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, bytes]:
