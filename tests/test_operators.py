@@ -299,3 +299,18 @@ def test_lookups(spark):
     checked = spark.createDataFrame([(1, "jpeg", 600, 800, 1000), (2, "gif", 10, 10, 10**9)], "image_id long, format string, width int, height int, n_bytes long")
     ok = {(r["image_id"], r["rule"]): r["ok"] for r in relations.requirement_check(checked, spark).collect()}
     assert ok[1, "passport"] and not ok[2, "passport"]
+
+
+def test_even_ranks_and_joins(spark):
+    import random
+
+    from docloom.operators import scale
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab") if i % 3 else "hot", i, rng.randrange(9)) for i in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    got = {(r["k"], r["o"]): r["s"] for r in scale.before(df, ["k"], "o", F.col("v"), "s", stretch=37).collect()}
+    assert got == {(k, o): sum(w for j, p, w in rows if j == k and p < o) for k, o, _ in rows}
+    facts = df.groupBy("k").agg(F.sum("v").alias("t"))
+    joined = scale.rejoined(df, facts, "k", "o")
+    assert joined.count() == len(rows) and {(r["k"], r["t"]) for r in joined.collect()} == {tuple(r) for r in facts.collect()}
