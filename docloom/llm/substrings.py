@@ -22,7 +22,9 @@ WINDOW words lose nothing. Empty tables give no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,10 +33,10 @@ from .common import Scratch, read, utf8
 from .native import sized
 
 WINDOW = 20
-#: Words parsed at once in a Python worker; a longer document is parsed alone.
-CHUNK_WORDS = 100_000
+#: Bytes of text parsed at once in a Python worker; a longer document is parsed alone.
+CHUNK_BYTES = 500_000
+LONG_WORD = 32
 ROUNDS = 3
-CACHE_WORDS = 300_000
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
@@ -49,20 +51,54 @@ def _salt(n: int) -> np.uint64:
     return np.uint64((n + 1) * _STEP % 2**64)
 
 
-class _Hashes(dict):
-    """Word to the eight bytes of its hash."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        from xxhash import xxh64_digest
-
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out = xxh64_digest(word)
-        return out
-
-
-def word_hashes(words: list[bytes], cache: _Hashes) -> np.ndarray:
-    return np.frombuffer(b"".join([cache[w] for w in words]), np.uint64)
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_BYTE = _mix(np.arange(256, dtype=np.uint64) + _salt(9))
+_BASE = 0x9E3779B97F4A7C13
+_NEXT_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+
+
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base and of its inverse, modulo 2**64."""
+    return _power(_BASE, n), _power(pow(_BASE, -1, 2**64), n)
+
+
+def _piece_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words of a piece with a blank at either end."""
+    from xxhash import xxh64_intdigest
+
+    raw = np.frombuffer(data, np.uint8)
+    blank = _BLANK[raw]
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    up, down = _powers(1 << len(raw).bit_length())
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    out = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = xxh64_intdigest(data[starts[i] : ends[i]])
+    return out, starts
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and where each text's words begin (and the last one's end).
+
+    Words of up to LONG_WORD bytes are hashed at once, by prefix sums of a polynomial in their (mixed) bytes; longer ones
+    one by one, as such polynomials can't tell some long words of a pattern apart.
+    """
+    data = b" ".join([b"", *texts, b""])
+    hashes, starts, at = [], [], 0
+    while at < len(data) - 1:
+        cut = len(data) - 1
+        if cut - at > 2 * CHUNK_BYTES:
+            found = _NEXT_BLANK.search(data, at + CHUNK_BYTES)
+            cut = found.start() if found else cut
+        h, s = _piece_hashes(data[at : cut + 1])
+        hashes.append(h)
+        starts.append(s + at)
+        at = cut
+    begins = np.cumsum([1] + [len(t) + 1 for t in texts])
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begins)
 
 
 def _round(sym, cl, cr, doc, turn, first, last):
@@ -133,9 +169,10 @@ def file_windows(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
         open_ = open_[~has]
     cut = np.flatnonzero(np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (starts[1:] != starts[:-1] + 1))))
     # the key is a hash of the words in the symbol's context
-    left, right, base = left[cut], right[cut], _STEP
-    sums = np.concatenate(([np.uint64(0)], np.add.accumulate(hashes * _power(base, len(hashes))[:-1])))
-    key = _mix((sums[right] - sums[left]) * _power(pow(base, -1, 2**64), len(hashes))[left] + (right - left).astype(np.uint64))
+    left, right = left[cut], right[cut]
+    up, down = _powers(1 << len(hashes).bit_length())
+    sums = np.concatenate(([np.uint64(0)], np.add.accumulate(hashes * up[: len(hashes)])))
+    key = _mix((sums[right] - sums[left]) * down[left] + (right - left).astype(np.uint64))
     return starts[cut], np.diff(np.append(cut, len(starts))), key
 
 
@@ -150,24 +187,18 @@ def window_hashes(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _chunks(batches: Iterator, names: list[str]) -> Iterator:
-    """(columns of names, word hashes, offsets) of as many rows as make up a chunk of words."""
-    cache, held, hashes, total = _Hashes(), [], [], 0
-
-    def done():
-        offsets = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
-        return [list(c) for c in zip(*held)], np.concatenate(hashes), offsets
-
+    """(columns of names, word hashes, offsets) of as many rows as make up a chunk of text."""
+    held, texts, total = [], [], 0
     for batch in batches:
         for *row, text in zip(*(batch.column(n).to_pylist() for n in names), utf8(batch, "text")):
-            h = word_hashes(text.split(), cache)
-            if held and total + len(h) > CHUNK_WORDS:
-                yield done()
-                held, hashes, total = [], [], 0
+            if held and total + len(text) > CHUNK_BYTES:
+                yield [list(c) for c in zip(*held)], *word_hashes(texts)
+                held, texts, total = [], [], 0
             held.append(row)
-            hashes.append(h)
-            total += len(h)
+            texts.append(text)
+            total += len(text)
     if held:
-        yield done()
+        yield [list(c) for c in zip(*held)], *word_hashes(texts)
 
 
 def _filed(batches: Iterator) -> Iterator:
