@@ -7,7 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while a scratch table is written: shuffle files go when their job ends, and Python workers get small batches.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables that cut lineage: an executor's loss costs a reread, not the work before.
 
-    ``write`` also lets Spark delete the finished job's shuffle files at once.
+    ``write`` also lets Spark delete the finished job's shuffle files at once and hands Python workers small batches.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -33,15 +37,15 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
+        conf = self.spark.conf
+        before = {key: conf.get(key, None) for key in _WRITING}
         try:
+            for key, value in _WRITING.items():
+                conf.set(key, value)
             df.write.option("compression", "zstd").parquet(self.path(name))
         finally:
-            if before is None:
-                self.spark.conf.unset(_CLEANUP)
-            else:
-                self.spark.conf.set(_CLEANUP, before)
+            for key, value in before.items():
+                conf.unset(key) if value is None else conf.set(key, value)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -145,7 +145,7 @@ def identify(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         und = told.select("doc_id", "key", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
         return und.withColumns({"declared": F.lit(None).cast("string"), "text_language": F.lit(None).cast("string")})
     n = len(languages)
-    judged = log_likelihoods(told, _table(trigram_counts(told, languages), n))
+    judged = log_likelihoods(told, _table(scratch.write(trigram_counts(told, languages), "trigrams"), n))
     by_text = F.when(F.col("spoken"), F.array_position("ll", F.array_max("ll")).cast("int") - 1)
     judged = scratch.write(judged.withColumn("by_text", by_text), "judged")
 

@@ -25,7 +25,7 @@ SEQUENCE = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Words and stems kept with their ids in each generation of a Python worker's cache, some 200 bytes each.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SPACE = bytes(0x20 if c in b"\t\n\r" else c for c in range(256))
