@@ -57,6 +57,21 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    facts = contaminated_keys(documents, benchmark)
+    counted = documents.select("doc_id", row_key().alias("key"), F.size(loose_words(text_of())).cast("long").alias("n_words"))
+    empty = F.array().cast("array<string>")
+    return counted.join(facts, "key", "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.size(F.coalesce("items", empty)).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.coalesce("items", empty), ","), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+    )
+
+
+def contaminated_keys(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per contaminated row key: key, n_hit, items."""
     scratch = Scratch(documents.sparkSession, "decontamination")
     windows = scratch.write(benchmark_windows(benchmark), "windows")
     short = sorted(r["n"] for r in windows.where(F.col("n") < WINDOW).select("n").distinct().collect())
@@ -114,24 +129,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         per_item.select("key", F.col("item_id").cast("string").alias("item")).distinct()
         .groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    facts = scratch.write(covered.join(items, "key", "left"), "facts")
-    counted = documents.select("doc_id", row_key().alias("key"), F.size(loose_words(text_of())).cast("long").alias("n_words"))
-    empty = F.array().cast("array<string>")
-    return counted.join(facts, "key", "left").select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.size(F.coalesce("items", empty)).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.coalesce("items", empty), ","), 256).alias("items_sha256"),
-        F.col("n_hit").isNotNull().alias("contaminated"),
-    )
+    return scratch.write(covered.join(items, "key", "left"), "facts")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that hold a window of the benchmark."""
-    scratch = Scratch(documents.sparkSession, "contaminated")
-    bad = scratch.write(contamination(documents, benchmark).where("contaminated").select("doc_id").distinct(), "ids")
-    return documents.join(sized(bad), documents["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The documents without the rows that hold a window of the benchmark; other rows of the same doc_id stay."""
+    bad = contaminated_keys(documents, benchmark).select(F.col("key").alias("bad"))
+    return documents.join(sized(bad), row_key() == F.col("bad"), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,10 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Scratch, read
-from .native import sized
+from .native import without
 
 SALTS = 32
 SHARD_ROWS = 400_000
@@ -176,12 +176,16 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_one_copy(documents: DataFrame) -> DataFrame:
-    """The documents without the copies that exact_duplicates drops."""
+    """One document of each text: the one with the largest doc_id (null loses), of rows that repeat it the least by all columns."""
     scratch = Scratch(documents.sparkSession, "copies")
-    gone = exact_duplicates(documents).where("NOT kept").select(F.col("doc_id").alias("gone_id"), "text_sha256").distinct()
-    gone = sized(scratch.write(gone, "gone"))
-    same_text = F.sha2(F.coalesce(documents["text"], F.lit("")), 256) == gone["text_sha256"]
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["gone_id"]) & same_text, "left_anti")
+    key = F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("h")).alias("k")
+    met = exact_duplicates(documents).where("group_size > 1").groupBy(key).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    met = scratch.write(met, "met")
+
+    def key_of() -> Column:
+        return F.struct(F.col("doc_id").alias("id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("h"))
+
+    return without(documents, met.where("NOT kept"), met.where("kept AND n > 1"), key_of)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

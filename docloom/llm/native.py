@@ -38,6 +38,21 @@ def grams(words: Column, n: int, of: Callable[[Column], Column]) -> Column:
     return F.when(F.size(words) >= n, every)
 
 
+def without(documents: DataFrame, gone: DataFrame, repeated: DataFrame, key: Callable[[], Column]) -> DataFrame:
+    """documents without the rows whose key is in gone, and with one row of each key in repeated; both have a column k.
+
+    Rows of a repeated key are told apart by their columns: the least row stays. They are combined before the shuffle,
+    so a key on many rows meets as one row a task.
+    """
+    gone, repeated = gone.select("k"), repeated.select("k")
+    rest = documents.join(sized(gone), key() == F.col("k"), "left_anti")
+    if repeated.isEmpty():
+        return rest
+    once = rest.join(sized(repeated), key() == F.col("k"), "left_anti")
+    many = rest.join(sized(repeated), key() == F.col("k")).groupBy("k").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in documents.columns))).alias("row"))
+    return once.unionByName(many.select("row.*"))
+
+
 def sized(small: DataFrame) -> DataFrame:
     """For broadcast if its rows, counted, are within the bound; as it is otherwise."""
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small

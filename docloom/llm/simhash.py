@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Scratch, read, row_key, utf8
 from .components import connected_components
-from .native import sized
+from .native import sized, without
 
 SHINGLE = 3
 DISTANCE = 2
@@ -201,23 +201,41 @@ def fingerprint_links(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return found.where("linked").select("a", "b").union(by_midpoint.where("linked").select("a", "b"))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """Per row of documents: doc_id, fingerprint, component_id (the smallest doc_id reachable over links), tag."""
-    scratch = Scratch(documents.sparkSession, "simhash")
+def _rooted(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and of each fingerprint fp the first_id and the root (the least fingerprint reachable over links)."""
     prints = scratch.write(fingerprints(documents), "prints")
     classes = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = connected_components(fingerprint_links(classes, scratch), scratch)
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return prints, classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """Per row of documents: doc_id, fingerprint, component_id (the smallest doc_id reachable over links), tag."""
+    scratch = Scratch(documents.sparkSession, "simhash")
+    prints, rooted = _rooted(documents, scratch)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = scratch.write(rooted.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "tag")
 
 
+def one_of_each(documents: DataFrame, labelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """One document of each label: the least doc_id (null last), then the least text hash, then the least by all columns.
+
+    labelled has doc_id, tag and label per row of documents.
+    """
+    key = F.struct(F.col("doc_id").alias("id"), F.col("tag").alias("h")).alias("k")
+    keys = scratch.write(labelled.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n")), "keys")
+    best = F.min(F.struct(F.col("k.id").isNull(), "k")).getField("k").alias("best")
+    groups = scratch.write(keys.groupBy("label").agg(best, F.sum("n").alias("rows")).where("rows > 1"), "groups")
+    met = scratch.write(keys.join(sized(groups), "label").select("k", "n", (F.col("k") == F.col("best")).alias("kept")), "met")
+    return without(documents, met.where("NOT kept"), met.where("kept AND n > 1"), row_key)
+
+
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents that name their component, or its only one; of rows that repeat such an id all stay."""
+    """One document of each component."""
     scratch = Scratch(documents.sparkSession, "near-copies")
-    gone = near_duplicates(documents).where("NOT (doc_id <=> component_id)").select(F.struct(F.col("doc_id").alias("id"), F.col("tag").alias("h")).alias("gone"))
-    return documents.join(sized(scratch.write(gone.distinct(), "gone")), row_key() == F.col("gone"), "left_anti")
+    prints, rooted = _rooted(documents, scratch)
+    return one_of_each(documents, prints.join(rooted.select("fp", F.col("root").alias("label")), "fp"), scratch)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -506,3 +506,22 @@ def test_pipeline(spark, tmp_path):
     assert kept["decontamination"] == kept["simhash_near_dedup"] - {102}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == kept["decontamination"]
+
+
+def test_stages_take_rows_by_key(spark):
+    """Null and repeated ids: one row of each group stays, and a contaminated row takes no clean one with it."""
+    item = " ".join(f"bench{i}" for i in range(15))
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (None, a), (None, b), (7, b), (7, b), (7, c), (8, c), (None, c), (None, "q1 q2 " + item), (9, item + " q3"), (9, "clean text")]
+    rows = [(i, t, "en", f"s{n % 3}", n) for n, (i, t) in enumerate(rows)] + [(20, None, None, None, 0), (20, None, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    groups = {t for _, t, *_ in rows}
+    for stage, of_b, of_c in ((exact_dedup.keep_one_copy, 7, 8), (simhash.keep_one_of_each, 7, 7)):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        kept = {r["text"]: r for r in got.collect()}
+        assert got.count() == len(kept) == len(groups) and set(kept) == groups
+        assert (kept[a]["doc_id"], kept[a]["source"], kept[b]["doc_id"], kept[c]["doc_id"]) == (None, "s0", of_b, of_c)
+    clean = decontamination.drop_contaminated(docs, bench)
+    assert srt(rows_of(clean)) == srt(r for r in rows if item not in (r[1] or ""))
