@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import resemblance
 from .common import Scratch, read, row_key, utf8
 from .components import connected_components
 from .native import sized, without
@@ -231,11 +232,17 @@ def one_of_each(documents: DataFrame, labelled: DataFrame, scratch: Scratch) ->
     return without(documents, met.where("NOT kept"), met.where("kept AND n > 1"), row_key)
 
 
-def keep_one_of_each(documents: DataFrame) -> DataFrame:
-    """One document of each component."""
+def keep_one_of_each(documents: DataFrame, shingle: int = resemblance.SHINGLE, similarity: float = resemblance.SIMILARITY) -> DataFrame:
+    """One document of each group of near copies: word shingles with a Jaccard similarity of at least this, link by link.
+
+    op10's radius of two bits misses most such pairs, and no radius that anchors can cover holds them all; so the pairs
+    come from an exact join.
+    """
     scratch = Scratch(documents.sparkSession, "near-copies")
-    prints, rooted = _rooted(documents, scratch)
-    return one_of_each(documents, prints.join(rooted.select("fp", F.col("root").alias("label")), "fp"), scratch)
+    labels = scratch.write(resemblance.near_copies(documents, scratch, shingle, similarity), "labels")
+    rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
+    labelled = rows.join(sized(labels), rows["tag"] == labels["tid"], "left").select("doc_id", "tag", F.coalesce("label", "tag").alias("label"))
+    return one_of_each(documents, labelled, scratch)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -525,3 +525,41 @@ def test_stages_take_rows_by_key(spark):
         assert (kept[a]["doc_id"], kept[a]["source"], kept[b]["doc_id"], kept[c]["doc_id"]) == (None, "s0", of_b, of_c)
     clean = decontamination.drop_contaminated(docs, bench)
     assert srt(rows_of(clean)) == srt(r for r in rows if item not in (r[1] or ""))
+
+
+def test_near_copies_of_the_pipeline(spark, monkeypatch):
+    """Planted near copies at either side of 0.8, far beyond two bits, against all pairs by brute force; then the later stages."""
+    import corpus_pipeline
+    from docloom.llm import resemblance
+
+    rng = random.Random(11)
+    line = [f"common{i}" for i in range(12)]
+    texts = []
+    for i in range(25):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(30, 160))] + (line if i % 2 else [])
+        texts.append(base)
+        for edits in (1, 2, 3, 5, 8):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = f"e{rng.randrange(10**6)}"
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts] + ["", " ", None, "a b", "A  b", "a b c"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    far = [(simhash.fingerprint((texts[i] or "").encode()) ^ simhash.fingerprint((texts[r] or "").encode())).bit_count() > 2 for i, r in enumerate(root)]
+    assert sum(far) > 20 and len(set(root)) > 60
+    for sample in (resemblance.SAMPLE, 500):
+        monkeypatch.setattr(resemblance, "SAMPLE", sample)
+        got = corpus_pipeline.drop_near_copies(spark, docs, "")
+        assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
+    assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
