@@ -12,23 +12,27 @@ are broken by doc_id, piece and checksum; equal rows may swap places. An empty t
 
 from __future__ import annotations
 
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Scratch, read, utf8
+from .common import Scratch, read
 
 SEQUENCE = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Words and stems kept with their ids in each generation of a Python worker's cache, some 200 bytes each.
-CACHE_WORDS = 150_000
+#: Words, and runs of them, kept with their ids in each generation of a Python worker's cache, some 200 bytes each.
+CACHE_WORDS = 200_000
+#: Bytes of text that are looked up at once.
+CHUNK_BYTES = 2_000_000
+#: New runs in one call of the tokenizer.
+CALL_RUNS = 2_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_SPACE = bytes(0x20 if c in b"\t\n\r" else c for c in range(256))
 
 
 def default_vocabulary() -> str:
@@ -37,89 +41,160 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-#: ASCII marks that, after a letter or digit, are a token run of their own.
-_TAIL = b".,;:!?%&*#$"
+# A simple word: letters that normalising only lower-cases, one by one, and ASCII marks behind them: one token run each. All other
+# words (among them those with letters that normalising may take apart, so that a mark joins what follows) are encoded by themselves.
+_MARKS = ".,;:!?%&*#$"
+_SIMPLE = rf"\A[A-Za-z\x{{C0}}-\x{{D6}}\x{{D8}}-\x{{F6}}\x{{F8}}-\x{{12F}}\x{{131}}-\x{{17F}}]+[{_MARKS}]*\z"
+_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> dict[int, str]:
     """The letter by which byte-level BPE shows each byte: itself if it prints in Latin-1, else the next from U+0100 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in shown]
-    return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
+    rest = [b for b in range(256) if b not in shown and b != 0x20]
+    return {b: chr(256 + i + (b > 0x20)) for i, b in enumerate(rest)}
+
+
+class _Kept:
+    """Ids of words or runs, in two generations: when the younger is full, it becomes the older and what the older held goes."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, keys: list[str], learn: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+        """Ids of the (different) keys; learn gives those of the keys that neither generation holds."""
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        out = list(map(self.young.get, keys))
+        holes = [i for i, x in enumerate(out) if x is None]
+        unknown = []
+        for i in holes:
+            key = keys[i]
+            if (ids := self.old.get(key)) is None:
+                unknown.append(i)
+            else:
+                out[i] = self.young[key] = ids
+        if unknown:
+            names = [keys[i] for i in unknown]
+            found = list(learn(names))
+            self.young.update(zip(names, found))
+            for i, ids in zip(unknown, found):
+                out[i] = ids
+        return out
 
 
 class WordTokenizer:
-    """Ids of a text as bytes of little-endian u32, word by word.
+    """Ids of texts as bytes of little-endian u32, word by word.
 
-    The tokenizer drops white space, never joins over it and lower-cases, so a text's ids are those of its blank-separated
-    words, and a word's ids those of its lower-cased stem and of the marks behind it. Both are kept with their ids in two
-    generations: when the younger is full, it becomes the older and what the older held goes.
+    The tokenizer drops white space and never joins over it, so a text's ids are those of its blank-separated words; those of a
+    simple word are those of its letters and of the marks behind them. Each different run of a chunk is looked up once.
     """
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.young: dict[bytes, bytes] = {b"": b""}
-        self.old: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {b"": b""}
-
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
-        """Words of Latin letters are one run that normalising only lower-cases, so they go to the model straight away."""
-        out, rest = [b""] * len(texts), []
-        for i, t in enumerate(texts):
-            word = t.decode()
-            if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
-                word = word.lower()
-                if not word.isascii():
-                    word = "".join(map(self.letters.__getitem__, word.encode()))
-                out[i] = array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
-            else:
-                rest.append(i)
-        if rest:
-            found = self.tokenizer.encode_batch_fast([texts[i].decode() for i in rest], add_special_tokens=False)
-            for i, e in zip(rest, found):
-                out[i] = array("I", e.ids).tobytes()
-        return out
-
-    @staticmethod
-    def parts(word: bytes) -> tuple[bytes, bytes]:
-        if b"<" not in word:  # special tokens are told by case
-            word = word.lower()
-        stem = word.rstrip(_TAIL)
-        if len(stem) < len(word) and stem and (stem[-1:].isalnum() or stem[-1] >= 0x80 and stem.decode()[-1].lower()[-1].isalpha()):
-            return stem, word[len(stem) :]
-        return word, b""
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.translate(_SPACE).split(b" ")
-        out = list(map(self.young.get, words))
-        holes = [i for i, x in enumerate(out) if x is None]
-        if not holes:
-            return b"".join(out)
-        split = [self.parts(words[i]) for i in holes]
-        here: dict[bytes, bytes] = {}
-        unknown = []
-        for stem in {s for s, _ in split}:
-            ids = self.young.get(stem)
-            if ids is None:
-                ids = self.old.get(stem)
-                if ids is None:
-                    unknown.append(stem)
+        #: the model alone, for runs that are normalised and shown as byte letters already
+        self.model_only = Tokenizer(self.tokenizer.model)
+        self.model_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = _byte_letters()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        #: by id, whether a token ends a run; tells the runs of a joined call apart
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self.runs, self.odd = _Kept(), _Kept()
+
+    def _run_ids(self, runs: list[str]) -> Iterator[bytes]:
+        for k in range(0, len(runs), CALL_RUNS):
+            part = runs[k : k + CALL_RUNS]
+            shown = " ".join(part)
+            if not shown.isascii():
+                shown = shown.encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.model_only.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer parts runs in another way")
+            data, at = ids.tobytes(), 0
+            for stop in stops:
+                yield data[at:stop]
+                at = stop
+
+    def _odd_ids(self, words: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            yield array("I", e.ids).tobytes()
+
+    def encode_chunk(self, texts) -> list[bytes]:
+        """Of an Arrow array of strings without nulls: words, their letters and their marks are told apart by Arrow, and only
+        different runs are looked up."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parted = pc.ascii_split_whitespace(texts)
+        coded = parted.flatten().dictionary_encode()
+        words = coded.dictionary
+        simple = pc.match_substring_regex(words, _SIMPLE)
+        at, odd_at = np.flatnonzero(simple.to_numpy(False)), np.flatnonzero(~simple.to_numpy(False))
+        lowered = pc.utf8_lower(words.filter(simple))
+        letters = pc.ascii_rtrim(lowered, _MARKS)
+        marked = pc.greater(pc.binary_length(lowered), pc.binary_length(letters))
+        tails = pc.replace_substring_regex(lowered.filter(marked), rf"\A[^{_MARKS}]+", "")
+        runs = pa.concat_arrays([letters, tails]).dictionary_encode()
+        each = [*self.runs.of(_strings(runs.dictionary), self._run_ids), *self.odd.of(_strings(words.take(pa.array(odd_at))), self._odd_ids), b""]
+        # of each different word, two parts of what was looked up
+        parts = np.full((len(words), 2), len(each) - 1)
+        of_run = runs.indices.to_numpy()
+        parts[at, 0] = of_run[: len(at)]
+        parts[at[marked.to_numpy(False)], 1] = of_run[len(at) :]
+        parts[odd_at, 0] = len(runs.dictionary) + np.arange(len(odd_at))
+        ids = np.frombuffer(b"".join(each), "<u4")
+        n = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        places = parts[coded.indices.to_numpy()].ravel()
+        lengths = n[places]
+        stops = np.cumsum(lengths)
+        flat = ids[np.arange(lengths.sum()) + np.repeat((np.cumsum(n) - n)[places] - stops + lengths, lengths)].tobytes()
+        bounds = np.concatenate(([0], stops))[2 * (parted.offsets.to_numpy() - parted.offsets[0].as_py())] * 4
+        return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def encode_all(self, texts) -> Iterator[bytes]:
+        """Of an Arrow array of strings without nulls, chunk by chunk; a text beyond a chunk is cut at blanks."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sizes, start, held = pc.binary_length(texts).to_pylist(), 0, 0
+        for i, size in enumerate([*sizes, CHUNK_BYTES + 1]):
+            if held + size > CHUNK_BYTES:
+                if i > start:
+                    yield from self.encode_chunk(texts[start:i])
+                if size > CHUNK_BYTES and i < len(sizes):
+                    yield b"".join(self.encode_chunk(pa.array([part]))[0] for part in _cut(texts[i].as_py().encode()))
+                    start, held = i + 1, 0
                     continue
-            here[stem] = ids
-        here.update(zip(unknown, self._ids(unknown)))
-        if len(self.young) + len(here) > CACHE_WORDS:
-            self.old, self.young = self.young, {b"": b""}
-        self.young.update(here)
-        for i, (stem, tail) in zip(holes, split):
-            if tail not in self.tails:
-                if len(self.tails) > 10_000:
-                    self.tails = {b"": b""}
-                self.tails[tail] = self._ids([tail])[0]
-            out[i] = self.young[words[i]] = here[stem] + self.tails[tail]
-        return b"".join(out)
+                start, held = i, 0
+            held += size
+
+    def encode(self, text: str) -> bytes:
+        import pyarrow as pa
+
+        return next(self.encode_all(pa.array([text])))
+
+
+def _strings(words) -> list[str]:
+    """A list of an Arrow array of words, none of which holds a line break."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.binary_join(pa.array([words], pa.list_(words.type)), "\n")[0].as_py().split("\n") if len(words) else []
+
+
+def _cut(text: bytes) -> Iterator[str]:
+    """Parts of about CHUNK_BYTES that end at blanks."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + CHUNK_BYTES)
+        stop = blank.end() if blank else len(text)
+        yield text[at:stop].decode()
+        at = stop
 
 
 @lru_cache(1)
@@ -133,18 +208,18 @@ def word_tokenizer(vocabulary: str) -> WordTokenizer:
 
 def token_pieces(documents: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids as bytes."""
-    path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator) -> Iterator:
         import zlib
 
         import pyarrow as pa
 
-        tokenizer, end = word_tokenizer(path), np.array([END_ID], "<u4").tobytes()
+        tokenizer = word_tokenizer(vocabulary or default_vocabulary())  # a path of the worker's machine
+        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text")):
-                ids = tokenizer.encode(text) + end
+            rows, texts = [], batch.column("text").cast(pa.string()).fill_null("")
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode_all(texts)):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * SEQUENCE)):
                     part = ids[at : at + 4 * SEQUENCE]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,13 +137,27 @@ def test_sequences_hold_the_ids(documents):
     assert total == sum(r["length"] for r in packing.token_pieces(documents).collect())
 
 
-def test_word_tokenizer_is_exact():
+def test_word_tokenizer_is_exact(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 200)
+    monkeypatch.setattr(packing, "CHUNK_BYTES", 500)
     tok = packing.WordTokenizer(packing.default_vocabulary())
-    rng, alphabet = random.Random(3), "aA1.,!'<|>é́ \n-_#中²½ İΣK"
-    odd = ["Don't, you'll!! a<|endoftext|>b <|ENDOFTEXT|> X", "a», b! ½. 3.14", "ΣΑΣ. İ, K!", "", " \n\t"]
+    rng, alphabet = random.Random(3), "aA1.,!'<|>é́ \n-_#中²½ İΣK"
+    odd = ["Don't, you'll!! a<|endoftext|>b <|ENDOFTEXT|> X", "a», b! ½. 3.14", "ΣΑΣ. İ, K!", "", " \n\t", "x<|>\x85y\xa0z\x1cq\x0bb <| |> <|startoftext|>", "we've I'M 'S''t 'x", "é" * 5000, "×÷ 12ǅ"]
     odd += ["".join(rng.choice(alphabet) for _ in range(30)) for _ in range(800)]
-    for text in odd:
-        assert np.frombuffer(tok.encode(text.encode()), "<u4").tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids
+    got = list(tok.encode_all(pa.array([*odd, " ".join(odd)])))
+    for text, ids in zip([*odd, " ".join(odd)], got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("tail", ".,;:!?%&*#$'-")
+def test_word_tokenizer_on_every_code_point(tail):
+    """Each code point up to U+2FFF and some beyond, alone, doubled and behind a letter, before the mark."""
+    tok = packing.WordTokenizer(packing.default_vocabulary())
+    points = [*range(1, 0x3000), *range(0xA640, 0xA6F0), *range(0xF900, 0xFB50), *range(0x1D160, 0x1D170), *range(0x2F800, 0x2F830)]
+    texts = [f"{c}{tail} {c}{c}{tail}{tail} a{c}{tail} {c}a{tail}" for c in map(chr, points)]
+    want = tok.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for text, ids, e in zip(texts, tok.encode_all(pa.array(texts)), want):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids, ascii(text)
 
 
 def test_plan_bins_uses_every_piece_once():
