@@ -27,8 +27,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Every round is written; the rounds end when none changes the edges, after about log2 of the longest path.
     """
     now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
-    state = None
-    for turn in range(1, 100):
+    state, turn = None, 0
+    while True:
+        turn += 1
         new = scratch.write(_small_star(_large_star(now).distinct()).distinct(), f"edges{turn}")
         scratch.drop(f"edges{turn - 1}")
         now = new

@@ -41,18 +41,18 @@ ROUNDS = 3
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))
 
 
-def _salt(n: int) -> np.uint64:
+def salt(n: int) -> np.uint64:
     return np.uint64((n + 1) * _STEP % 2**64)
 
 
 _BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
-_BYTE = _mix(np.arange(256, dtype=np.uint64) + _salt(9))
+_BYTE = mix(np.arange(256, dtype=np.uint64) + salt(9))
 _BASE = 0x9E3779B97F4A7C13
 _NEXT_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
@@ -74,7 +74,7 @@ def _piece_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(1 << len(raw).bit_length())
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-    out = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
         out[i] = xxh64_intdigest(data[starts[i] : ends[i]])
     return out, starts
@@ -113,14 +113,14 @@ def _round(sym, cl, cr, doc, turn, first, last):
     left, right = first[d], last[d]
     left[1:] = np.where(same, cl[at[1:] - 1], left[1:])
     right[:-1] = np.where(same, cr[at[1:]], right[:-1])
-    name = np.where(length > 1, _mix(base ^ _mix(length.astype(np.uint64) + _salt(0))), base)
-    half = _mix(base + _salt(turn)) & np.uint64(1) == 0
+    name = np.where(length > 1, mix(base ^ mix(length.astype(np.uint64) + salt(0))), base)
+    half = mix(base + salt(turn)) & np.uint64(1) == 0
     pair = half[:-1] & ~half[1:] & same
     keep = np.flatnonzero(~np.concatenate(([False], pair)))
     paired = np.append(pair, False)[keep]
     second = np.minimum(keep + 1, len(base) - 1)
     return (
-        np.where(paired, _mix(name[keep] * np.uint64(3) + _mix(name[second])), name[keep]),
+        np.where(paired, mix(name[keep] * np.uint64(3) + mix(name[second])), name[keep]),
         left[keep],
         np.where(paired, right[second], right[keep]),
         d[keep],
@@ -164,7 +164,7 @@ def file_windows(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
         has = hi >= lo
         now = open_[has]
         if len(now):
-            j = _least(_mix(sym + _salt(turn)) >> np.uint64(32), lo[has], hi[has])
+            j = _least(mix(sym + salt(turn)) >> np.uint64(32), lo[has], hi[has])
             symbol[now], left[now], right[now] = (turn << 40) + j, cl[j], cr[j]
         open_ = open_[~has]
     cut = np.flatnonzero(np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (starts[1:] != starts[:-1] + 1))))
@@ -172,18 +172,18 @@ def file_windows(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     left, right = left[cut], right[cut]
     up, down = _powers(1 << len(hashes).bit_length())
     sums = np.concatenate(([np.uint64(0)], np.add.accumulate(hashes * up[: len(hashes)])))
-    key = _mix((sums[right] - sums[left]) * down[left] + (right - left).astype(np.uint64))
+    key = mix((sums[right] - sums[left]) * down[left] + (right - left).astype(np.uint64))
     return starts[cut], np.diff(np.append(cut, len(starts))), key
 
 
 def window_hashes(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64 and 32 bits of the windows at starts."""
     a, b = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-    mixed = _mix(hashes + _salt(7))
+    mixed = mix(hashes + salt(7))
     for i in range(WINDOW):
-        a += hashes[starts + i] * (_mix(np.array([_salt(200 + i)])) | np.uint64(1))
-        b += mixed[starts + i] * (_mix(np.array([_salt(300 + i)])) | np.uint64(1))
-    return _mix(a).view(np.int64), (_mix(b) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        a += hashes[starts + i] * (mix(np.array([salt(200 + i)])) | np.uint64(1))
+        b += mixed[starts + i] * (mix(np.array([salt(300 + i)])) | np.uint64(1))
+    return mix(a).view(np.int64), (mix(b) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _chunks(batches: Iterator, names: list[str]) -> Iterator:
@@ -225,10 +225,10 @@ def _stretch_hashes(a: np.ndarray, b: np.ndarray, within: np.ndarray, first: np.
     """64 and 32 bits of stretches from the hashes of their windows and the windows' places within."""
     if not len(first):
         return np.empty(0, np.int64), np.empty(0, np.int32)
-    turn = _mix(within.astype(np.uint64) + _salt(8)) | np.uint64(1)
+    turn = mix(within.astype(np.uint64) + salt(8)) | np.uint64(1)
     h = np.add.reduceat(a.view(np.uint64) * turn, first)
-    g = np.add.reduceat(_mix(b.astype(np.uint64) + a.view(np.uint64)) * turn, first)
-    return _mix(h).view(np.int64), (_mix(g) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    g = np.add.reduceat(mix(b.astype(np.uint64) + a.view(np.uint64)) * turn, first)
+    return mix(h).view(np.int64), (mix(g) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _hashed(batches: Iterator) -> Iterator:
