@@ -3,8 +3,8 @@
 A window is WINDOW consecutive words of a benchmark item, or the whole of a shorter item. Of the hashes of the GRAM-word
 grams inside each window the smallest is its fingerprint. Both sides pick it by the same rule, so a document that holds a
 window holds its fingerprint too: no shared window is missed. Documents are fingerprinted row by row without a shuffle
-and joined with the benchmark's fingerprints. Where they meet, the hit is extended: only the windows around it are built,
-word for word, and joined with the benchmark's windows.
+and joined with the benchmark's fingerprints. Where they meet, the hit is extended: the windows with a met fingerprint are
+built word for word and joined with the benchmark's windows. The work per text is linear in its words.
 
 The benchmark's tables are broadcast if their counted rows are within native.BROADCAST_ROWS, else shuffled; likewise the
 keys of documents with hits. Null texts have no words. Items without words have no windows; a null item_id counts as no
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Scratch, read, row_key
-from .native import BROADCAST_ROWS, exact_words, grams, let, loose_words, sized, text_of
+from .native import BROADCAST_ROWS, exact_words, free_name, grams, let, loose_words, sized, text_of
 
 WINDOW = 10
 GRAM = 5
@@ -27,14 +27,14 @@ def _gram_hashes(words: Column, n: int) -> Column:
 
 
 def _winnowed(words: Column) -> Column:
-    """The fingerprints of all full windows of the words; null if there is none."""
+    """The fingerprints of all full windows of the words, by start; null if there is none."""
     span = WINDOW - GRAM + 1
-    return let(_gram_hashes(words, GRAM), lambda h: F.when(F.size(h) >= span, F.array_distinct(grams(h, span, F.array_min))))
+    return let(_gram_hashes(words, GRAM), lambda h: F.when(F.size(h) >= span, grams(h, span, F.array_min)))
 
 
 def _fingerprints(words: Column, short: list[int]) -> Column:
     """Fingerprints of full windows, and the hashes of all grams as long as some short item."""
-    parts = [_winnowed(words), *(_gram_hashes(words, n) for n in short)]
+    parts = [F.array_distinct(_winnowed(words)), *(_gram_hashes(words, n) for n in short)]
     return F.flatten(F.array_compact(F.array(*parts))) if short else parts[0]
 
 
@@ -77,65 +77,38 @@ def contaminated_keys(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = sorted(r["n"] for r in windows.where(F.col("n") < WINDOW).select("n").distinct().collect())
     keyed = documents.select(row_key().alias("key"), text_of().alias("text"))
 
-    # 1. which fingerprints of the benchmark a document has
+    # 1. which documents hold a fingerprint of the benchmark
+    fps = windows.select("n", "fp").distinct()
     prints = keyed.select("key", F.explode(let(loose_words(F.col("text")), lambda w: _fingerprints(w, short))).alias("fp"))
-    met = prints.join(sized(windows.select("fp").distinct()), "fp")
-    hits = scratch.write(met.groupBy("key").agg(F.collect_set("fp").alias("fps")), "hits")
-
-    # 2. the windows around them, word for word
-    n_met = hits.agg(F.sum(F.size("fps") + 2)).first()[0] or 0  # in longs, keys included
-    found = keyed.join(F.broadcast(hits) if n_met <= BROADCAST_ROWS else hits, "key").select(
-        "key", "fps", exact_words(F.col("text")).alias("w"), loose_words(F.col("text")).alias("v")
-    )
-
-    def around(w: Column, v: Column, fps: Column) -> Column:
-        """(start, n) of the windows that hold a gram with a met fingerprint."""
-
-        def places(n: int) -> Column:
-            hashes = _gram_hashes(v, n)
-            return F.coalesce(
-                let(hashes, lambda h: F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: F.array_contains(fps, F.element_at(h, i)))),
-                F.array().cast("array<int>"),
-            )
-
-        first, last = F.lit(1), F.size(w) - (WINDOW - 1)
-        near = F.flatten(
-            F.transform(
-                F.when(last >= 1, places(GRAM)).otherwise(F.array().cast("array<int>")),
-                lambda p: F.sequence(F.greatest(first, p - (WINDOW - GRAM)), F.greatest(first, F.least(last, p))),
-            )
-        )
-        full = F.transform(F.array_distinct(near), lambda s: F.struct(s.alias("s"), F.lit(WINDOW).alias("n")))
-
-        def whole(n: int) -> Column:
-            return F.transform(places(n), lambda s: F.struct(s.alias("s"), F.lit(n).alias("n")))
-
-        others = [whole(n) for n in short]
-        return F.concat(full, *others) if others else full
-
-    built = found.select(
-        "key", F.explode(let(F.struct("w", "v", "fps"), lambda x: F.transform(
-            around(x["w"], x["v"], x["fps"]),
-            lambda a: F.struct(a["s"].alias("s"), a["n"].alias("n"), F.array_join(F.slice(x["w"], a["s"], a["n"]), " ").alias("window")),
-        ))).alias("x"),
-    ).select("key", "x.*")
-    exact = scratch.write(built.join(sized(windows.select("n", "window").distinct()), ["n", "window"]), "exact")
+    hits = scratch.write(prints.join(sized(fps.select("fp").distinct()), "fp").select("key").distinct(), "hits")
+
+    # 2. the places of their windows that have such a fingerprint, and these windows word for word
+    found = keyed.join(sized(hits), "key").select("key", exact_words(F.col("text")).alias("w"), loose_words(F.col("text")).alias("v"))
+    by_length = [_winnowed(F.col("v")), *(_gram_hashes(F.col("v"), n) for n in short)]
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), f.alias("fps")) for n, f in zip([WINDOW, *short], by_length)))).alias("x")
+    places = found.select("key", each).select("key", F.col("x.n").alias("n"), F.posexplode("x.fps").alias("at", "fp"))
+    met = places.join(sized(fps), ["n", "fp"]).select("key", "n", (F.col("at") + 1).alias("s"))
+    starts = scratch.write(met.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("s", "n")).alias("starts")), "starts")
+    n_starts = starts.agg(F.sum(F.size("starts") + 2)).first()[0] or 0  # in longs, keys included
+    some = found.join(F.broadcast(starts) if n_starts <= BROADCAST_ROWS else starts, F.col("key") == F.col("k"))
+    built = some.select("key", F.explode(let(F.struct("w", "starts"), lambda x: F.transform(
+        x["starts"], lambda a: F.struct(a["s"].alias("s"), a["n"].alias("n"), F.array_join(F.slice(x["w"], a["s"], a["n"]), " ").alias("window")),
+    ))).alias("x")).select("key", "x.*")
+    # the items of a window come as one array, so that a window of many items makes no more rows
+    of_window = windows.groupBy("n", "window").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("held"))
+    exact = scratch.write(built.join(sized(of_window), ["n", "window"]).drop("window"), "exact")
 
     # 3. per document: the words under windows, and the items
     words = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("s", "n")), lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))
-    covered = exact.groupBy("key").agg(words.cast("long").alias("n_hit"))
-    per_item = exact.select("key", "n", "window").distinct().join(windows.select("n", "window", "item_id"), ["n", "window"])
-    items = (
-        per_item.select("key", F.col("item_id").cast("string").alias("item")).distinct()
-        .groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    )
-    return scratch.write(covered.join(items, "key", "left"), "facts")
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("held"))))
+    return scratch.write(exact.groupBy("key").agg(words.cast("long").alias("n_hit"), items.alias("items")), "facts")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without the rows that hold a window of the benchmark; other rows of the same doc_id stay."""
-    bad = contaminated_keys(documents, benchmark).select(F.col("key").alias("bad"))
-    return documents.join(sized(bad), row_key() == F.col("bad"), "left_anti")
+    name = free_name(documents, "bad")
+    bad = contaminated_keys(documents, benchmark).select(F.col("key").alias(name))
+    return documents.join(sized(bad), row_key() == F.col(name), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

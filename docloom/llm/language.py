@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Scratch, read, row_key, utf8
-from .native import sized
+from .native import free_name, sized
 
 LANGUAGES = 64
 BUCKETS = 1 << 16
@@ -185,8 +185,9 @@ def identify(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 def keep_accepted(documents: DataFrame) -> DataFrame:
     """The documents without those whose language is unknown or in doubt."""
     scratch = Scratch(documents.sparkSession, "language")
-    gone = scratch.write(identify(documents, scratch).where("NOT accepted").select(F.col("key").alias("gone")).distinct(), "rejected")
-    return documents.join(sized(gone), row_key() == F.col("gone"), "left_anti")
+    name = free_name(documents, "gone")
+    gone = scratch.write(identify(documents, scratch).where("NOT accepted").select(F.col("key").alias(name)).distinct(), "rejected")
+    return documents.join(sized(gone), row_key() == F.col(name), "left_anti")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,15 +44,25 @@ def without(documents: DataFrame, gone: DataFrame, repeated: DataFrame, key: Cal
     Rows of a repeated key are told apart by their columns: the least row stays. They are combined before the shuffle,
     so a key on many rows meets as one row a task.
     """
-    gone, repeated = gone.select("k"), repeated.select("k")
-    rest = documents.join(sized(gone), key() == F.col("k"), "left_anti")
+    name = free_name(documents, "k")
+    gone, repeated = (x.select(F.col("k").alias(name)) for x in (gone, repeated))
+    rest = documents.join(sized(gone), key() == F.col(name), "left_anti")
     if repeated.isEmpty():
         return rest
-    once = rest.join(sized(repeated), key() == F.col("k"), "left_anti")
-    many = rest.join(sized(repeated), key() == F.col("k")).groupBy("k").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in documents.columns))).alias("row"))
+    once = rest.join(sized(repeated), key() == F.col(name), "left_anti")
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    many = rest.join(sized(repeated), key() == F.col(name)).groupBy(name).agg(F.min(row).alias("row")).select("row")
     return once.unionByName(many.select("row.*"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def sized(small: DataFrame) -> DataFrame:
     """For broadcast if its rows, counted, are within the bound; as it is otherwise."""
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
