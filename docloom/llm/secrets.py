@@ -16,10 +16,10 @@ import re._parser as parser
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import Scratch, read, row_key
-from .native import let, sized, text_of
+from .native import free_name, let, sized, text_of
 
 
 @dataclass(frozen=True)
@@ -129,51 +129,56 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("key").agg(F.bit_or("rule").alias("rules"))
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """(start, rank, end, kind) of a rule's matches. Starts follow from the lengths of matches and of what lies between."""
-
-    def placed(x: Column) -> Column:
-        between, match = x["between"], x["match"]
-
-        def one(i: Column) -> Column:
-            start = F.length(F.array_join(F.slice(between, F.lit(1), i), "")) + F.length(F.array_join(F.slice(match, F.lit(1), i - 1), ""))
-            return F.struct(
-                start.alias("start"), F.lit(order).alias("rank"),
-                (start + F.length(F.element_at(match, i))).alias("end"), F.lit(rule.kind).alias("kind"),
-                F.length(F.element_at(x["held"], i)).alias("n"),
-            )
-
-        every = F.transform(F.sequence(F.lit(1), F.size(match)), one)
-        return F.when(F.size(match) > 0, F.filter(every, lambda m: m["n"] >= rule.min_length))
-
+def _pieces(text: Column, rule: Rule) -> Column:
+    """Of each match of the rule the lengths of the text since the match before (b), of the match (m) and of its group (n)."""
     pattern = F.lit(rule.pattern)
     found = F.struct(
         F.split(text, rule.pattern, -1).alias("between"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("held"),
     )
-    return F.when(F.rlike(text, pattern), let(found, placed))
 
+    def lengths(x: Column, i: Column) -> Column:
+        return F.struct(*(F.length(F.element_at(x[c], i)).alias(n) for c, n in (("between", "b"), ("match", "m"), ("held", "n"))))
 
-_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,n:int>>"
+    return F.when(F.rlike(text, pattern), let(found, lambda x: F.transform(F.sequence(F.lit(1), F.size(x["match"])), lambda i: lengths(x, i))))
 
 
-def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of documents with secrets added: an array of (start, rank, end, kind, n) by start, then rank of the rule."""
-    scratch = Scratch(documents.sparkSession, "secrets")
+def secret_spans(documents: DataFrame, rules: tuple[Rule, ...], scratch: Scratch) -> DataFrame:
+    """key, secrets of the rows with any: an array of (start, rank, end, kind, n) by start, then rank of the rule.
+
+    Starts are running sums of lengths over a rule's matches in one text, so the work is linear in the matches.
+    """
     keyed = documents.select(row_key().alias("key"), text_of().alias("text"))
     asked = sorted({t for rule in rules for clause in trigram_query(rule.pattern) for s in clause for t in s})
     index = scratch.write(postings(keyed, asked), "index")
-    wanted = scratch.write(candidates(index, rules), "candidates").withColumnRenamed("key", "w_key")
-    rows = documents.join(sized(wanted), row_key() == F.col("w_key"), "left")
-    text = text_of()
+    wanted = scratch.write(candidates(index, rules), "candidates")
+    rows = keyed.join(sized(wanted), "key", "left")
     parts = []
     for r, rule in enumerate(rules):
-        spans = _spans(text, rule, r)
+        pieces = _pieces(F.col("text"), rule)
         if trigram_query(rule.pattern):
-            spans = F.when(F.col("rules").bitwiseAND(F.lit(1 << r)) != 0, spans)
-        parts.append(F.coalesce(spans.cast(_SPAN), F.array().cast(_SPAN)))
-    return rows.select(*documents.columns, F.array_sort(F.concat(*parts)).alias("secrets"))
+            pieces = F.when(F.col("rules").bitwiseAND(F.lit(1 << r)) != 0, pieces)
+        parts.append(F.struct(F.lit(r).alias("rank"), pieces.alias("pieces")))
+    some = rows.select("key", F.explode(F.array(*parts)).alias("x")).select("key", "x.rank", F.posexplode("x.pieces").alias("at", "p"))
+    once = scratch.write(some.groupBy("key", "rank", "at").agg(F.first("p").alias("p")).select("key", "rank", "at", "p.*"), "matches")
+    so_far = Window.partitionBy("key", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    kinds, least = (F.element_at(F.array(*(F.lit(getattr(x, name)) for x in rules)), F.col("rank") + 1) for name in ("kind", "min_length"))
+    placed = once.withColumn("end", F.sum(F.col("b") + F.col("m")).over(so_far).cast("int")).where(F.col("n") >= least)
+    span = F.struct((F.col("end") - F.col("m")).alias("start"), "rank", "end", kinds.alias("kind"), "n")
+    return scratch.write(placed.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("secrets")), "spans")
+
+
+_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,n:int>>"
+
+
+def find_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of documents with their spans in the column secrets, which replaces one of that name; without any, it is empty."""
+    found = secret_spans(documents, rules, Scratch(documents.sparkSession, "secrets"))
+    key, spans = free_name(documents, "key"), free_name(documents, "spans")
+    rows = documents.join(sized(found.toDF(key, spans)), row_key() == F.col(key), "left")
+    secrets = F.coalesce(F.col(spans), F.array().cast(_SPAN)).alias("secrets")
+    return rows.select(*(F.col(f"`{c}`") for c in documents.columns if c.lower() != "secrets"), secrets)
 
 
 def _written(spans: Column) -> Column:
