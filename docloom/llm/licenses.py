@@ -122,10 +122,12 @@ class Matcher:
 
 def phrase_places(joined: bytes, phrase: bytes) -> list[int]:
     """The words (from 0) at which the phrase starts in blank-separated words with a blank at either end."""
-    out, needle, at = [], b" " + phrase + b" ", joined.find(b" " + phrase + b" ")
+    out, needle, done, word = [], b" " + phrase + b" ", 0, 0
+    at = joined.find(needle)
     while at >= 0:
-        out.append(joined.count(b" ", 0, at))
-        at = joined.find(needle, at + 1)
+        word += joined.count(b" ", done, at)
+        out.append(word)
+        done, at = at, joined.find(needle, at + 1)
     return out
 
 
