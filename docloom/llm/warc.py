@@ -31,6 +31,8 @@ from .common import Scratch, read
 
 BLOCK = 500
 SWEEP = 4 << 20
+#: Index blocks that one task reads back, about.
+READ_BLOCKS = 4
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BLOCKS = "first_key string, index_file string, at long, length long, lines long, archive string"
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -217,7 +219,9 @@ def read_archives(store: Store) -> DataFrame:
                 with fs.open_input_file(archive) as f:
                     yield _batch([parse_record(_gunzip(x)) for x in _sweep(f, [(e[2], e[3]) for e in entries])], _RECORD)
 
-    return store.blocks.repartition("archive", "at").mapInArrow(run, _RECORD)
+    # one block of the index is some BLOCK records; an explicit number of parts, as the rows of blocks are too few to be left apart
+    n = store.blocks.count()
+    return store.blocks.repartition(max(1, -(-n // READ_BLOCKS)), "archive", "at").mapInArrow(run, _RECORD)
 
 
 def _holding(firsts: list[str], key: str) -> range:
