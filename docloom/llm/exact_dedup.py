@@ -39,8 +39,8 @@ class CuckooIndex:
 
     def place(self, digest: bytes) -> tuple[int, int, int]:
         """Fingerprint (never 0, which marks a free slot) and the two buckets."""
-        fp = int.from_bytes(digest[:2], "little") or 1
-        first = int.from_bytes(digest[2:10], "little") & self.mask
+        fp = int.from_bytes(digest[14:16], "little") or 1
+        first = int.from_bytes(digest[8:14], "little") & self.mask  # the shard comes of the first bytes
         return fp, first, self._other(first, fp)
 
     def _other(self, bucket: int, fp: int) -> int:
@@ -131,26 +131,32 @@ def build_index(changes: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        indexes: dict[int, CuckooIndex] = {}
-        for batch in batches:
-            for shard, digest, doc_id, copies in zip(*(batch.column(c).to_pylist() for c in ("shard", "digest", "doc_id", "copies"))):
-                index = indexes.get(shard) or indexes.setdefault(shard, CuckooIndex())
-                if copies > 0:
-                    index.insert(digest, doc_id, copies)
-                else:
-                    index.delete(digest, -copies)
         names = [x.split()[0] for x in _INDEX.split(", ")]
         types = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-        while indexes:
-            shard, index = indexes.popitem()
+
+        def done(shard: int, index: CuckooIndex) -> Iterator:
             rows = [(shard, "entry", index.place(d)[1], d, k, n, None) for d, (k, n) in index.store.items()]
             rows.append((shard, "filter", index.mask + 1, None, None, len(index.store), index.table.tobytes()))
             for i in range(0, len(rows), 20_000):
                 cols = zip(*rows[i : i + 20_000])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
+        now, index = None, CuckooIndex()
+        for batch in batches:
+            for shard, digest, doc_id, copies in zip(*(batch.column(c).to_pylist() for c in ("shard", "digest", "doc_id", "copies"))):
+                if shard != now:  # a shard's changes come together, so one index is held at a time
+                    if now is not None:
+                        yield from done(now, index)
+                    now, index = shard, CuckooIndex()
+                if copies > 0:
+                    index.insert(digest, doc_id, copies)
+                else:
+                    index.delete(digest, -copies)
+        if now is not None:
+            yield from done(now, index)
+
     dealt = changes.select(_shard_col(shards).alias("shard"), "digest", "doc_id", "copies")
-    return dealt.repartition(shards, "shard").sortWithinPartitions(F.col("copies") < 0).mapInArrow(run, _INDEX)
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.col("copies") < 0).mapInArrow(run, _INDEX)
 
 
 def exact_duplicates(documents: DataFrame) -> DataFrame:
