@@ -30,6 +30,8 @@ SHINGLE = 3
 DISTANCE = 2
 SEED = 42
 RUN = 1024
+#: Replicated fingerprints (16 bytes each) that one task sorts and compares, about.
+POINTS = 500_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -191,14 +193,14 @@ def fingerprint_links(classes: DataFrame, scratch: Scratch) -> DataFrame:
                     [pa.array((part[:, None] ^ flips).ravel()), pa.array(np.repeat(part, len(flips)))], ["anchor", "fp"]
                 )
 
-    def compared(points: DataFrame) -> DataFrame:
-        n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = points.repartition(n, "anchor").sortWithinPartitions("anchor")
+    def compared(points: DataFrame, rows: int) -> DataFrame:
+        dealt = points.repartition(max(1, -(-rows // POINTS)), "anchor").sortWithinPartitions("anchor")
         return dealt.mapInArrow(_compare, "a long, b long, linked boolean")
 
-    found = scratch.write(compared(classes.select("fp").mapInArrow(replicate, "anchor long, fp long")), "compared")
-    crowded = found.where("not linked").select(F.col("a").alias("fp")).distinct()
-    by_midpoint = compared(crowded.mapInArrow(midpoints, "anchor long, fp long"))
+    spread = classes.select("fp").mapInArrow(replicate, "anchor long, fp long")
+    found = scratch.write(compared(spread, 31 * classes.count()), "compared")
+    crowded = scratch.write(found.where("not linked").select(F.col("a").alias("fp")).distinct(), "crowded")
+    by_midpoint = compared(crowded.mapInArrow(midpoints, "anchor long, fp long"), 65 * crowded.count())
     return found.where("linked").select("a", "b").union(by_midpoint.where("linked").select("a", "b"))
 
 

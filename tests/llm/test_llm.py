@@ -578,3 +578,36 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch):
         got = corpus_pipeline.drop_near_copies(spark, docs, "")
         assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns named like those used inside come through every operator that returns documents."""
+    item = " ".join(f"bench{i}" for i in range(15))
+    rows = [(1, "token: abcdefgh " + item, "en", 1, 2, 3, 4, 5, 6, 7), (2, "the house and the garden", "en", 1, 2, 3, 4, 5, 6, 7), (2, "the house and the garden", "en", 0, 2, 3, 4, 5, 6, 7)]
+    names = ["k", "key", "gone", "rules", "w_key", "bad", "tag"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} long" for n in names))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for got, ids in (
+        (exact_dedup.keep_one_copy(docs), [1, 2]), (simhash.keep_one_of_each(docs), [1, 2]), (decontamination.drop_contaminated(docs, bench), [2, 2]),
+        (language.keep_accepted(docs), [1, 2, 2]), (secrets.find_secrets(docs).drop("secrets"), [1, 2, 2]), (secrets.redact(docs), [1, 2, 2]),
+    ):
+        assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == ids
+    again = secrets.find_secrets(docs.withColumn("secrets", F.lit(1))).where("doc_id = 1").first()
+    assert [s["kind"] for s in again["secrets"]] == ["assign"]
+
+
+def test_long_texts_take_linear_time(spark):
+    """100,000 secrets, 300,000 phrases and 100,000 windows of an item in one text each, within seconds."""
+    import time
+
+    hits = 50_000
+    docs = spark.createDataFrame([(1, "token: abcdef " * hits), (2, "all rights reserved " * hits), (3, "one two " * hits)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two " * 6)], "item_id long, text string")
+    began = time.monotonic()
+    found = secrets.find_secrets(docs.where("doc_id = 1")).select(F.size("secrets"), F.element_at("secrets", -1)["start"]).first()
+    assert tuple(found) == (hits, 14 * (hits - 1))
+    base = licenses.scan(docs.where("doc_id = 2")).first()
+    assert (base["n_base"], base["first_word"], base["last_word"]) == (hits, 0, 3 * (hits - 1))
+    bad = decontamination.contamination(docs.where("doc_id = 3"), bench).first()
+    assert (bad["n_words"], bad["n_hit"], bad["n_items"]) == (2 * hits, 2 * hits, 1)
+    assert time.monotonic() - began < 60
