@@ -433,6 +433,29 @@ def test_language_of_pages(spark):
     assert got[3] == "fr" and got[23] == "en" and got[40] == "fr"
 
 
+def test_language_in_blocks_and_held_out(spark, monkeypatch):
+    """More languages than a block: the same results; texts of no declared language are refused; rows whose declaration is hidden."""
+    rng = random.Random(4)
+    words = {code: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)] for code, letters in zip(("aa", "bb", "cc", "dd", "ee"), ("abcde", "fghij", "klmno", "pqrst", "uvwxy"))}
+    rows = [(100 * k + i, " ".join(rng.choices(words[code], k=30)), code.upper() + "-X", "s") for k, code in enumerate(words) for i in range(30)]
+    rows += [(900, " ".join("".join(rng.choice("zq0\u4e2d\u6587") for _ in range(6)) for _ in range(60)), "no code", "s"), (901, "", "x1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    whole = srt(rows_of(language.identify(docs).drop("confidence")))
+    monkeypatch.setattr(language, "BLOCK", 2)
+    assert srt(rows_of(language.identify(docs).drop("confidence"))) == whole
+    got = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    assert all(got[100 * k + i]["language"] == code for k, code in enumerate(words) for i in range(30))
+    assert not got[900]["accepted"] and got[900]["language"] == got[901]["language"] == "und"
+    assert language.held_out_accuracy(docs) == (1.0, 1.0)
+    assert {r["doc_id"] // 100 for r in language.keep_accepted(docs, ("aa", "cc")).collect()} == {0, 2}
+
+
+def test_page_rows(spark):
+    pages = spark.createDataFrame([(1, "http://a.de/", "<HTML LANG=de><style>p{}</style><!-- x --><p>Der <b>Hund</b></p></HTML>"), (2, None, None)], "page_id long, url string, html string")
+    got = {r["doc_id"]: r for r in language.page_rows(pages).collect()}
+    assert (got[1]["markup"], got[1]["text"].split()) == ("de", ["Der", "Hund"]) and got[2]["text"] == ""
+
+
 # ---- toxicity
 
 
