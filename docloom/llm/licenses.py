@@ -1,16 +1,18 @@
 """License scans: exact phrases, and a set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text, as sets of words. A block matches a template if it holds at least THRESHOLD of the
+Blocks are the lines of a text and its paragraphs (parted by blank lines), so that a notice that is wrapped over lines is one
+block; both as sets of words. A block matches a template if it holds at least THRESHOLD of the
 template's words. The join is exact and orders words by how many documents hold them, rarest first, counted over the
 whole corpus: a match must hold one of the rarest words of a template (prefix filter), have as many words as the match
 needs (length filter), and have enough words left after the first common one (positional filter). Templates are a
-parameter and bounded; their prefix index goes to the tasks, so texts stay where they are.
+parameter, some kilobytes of text; their prefix index goes to the tasks, so texts stay where they are.
 
 Null texts count as empty. Rows that repeat a doc_id get a row each. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import folded_words, read, utf8
 
 THRESHOLD = 0.8
-MOST_TEMPLATE_WORDS = 1_000_000
 
 # Phrases that count wherever their words stand in a row, with their labels.
 PHRASES = (
@@ -40,6 +41,87 @@ TEMPLATES = (
     ("All rights reserved", "reserved"),
 )
 
+# Paragraphs of public license texts, with their labels.
+FULL_TEXTS = (
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation"
+        " files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy,"
+        " modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the"
+        " Software is furnished to do so, subject to the following conditions:",
+        "mit",
+    ),
+    (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES"
+        " OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS"
+        " BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT"
+        " OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        "mit",
+    ),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
+        " provided that the above copyright notice and this permission notice appear in all copies.",
+        "isc",
+    ),
+    (
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following"
+        " disclaimer in the documentation and/or other materials provided with the distribution.",
+        "bsd",
+    ),
+    (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived"
+        " from this software without specific prior written permission.",
+        "bsd-3-clause",
+    ),
+    (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,"
+        " BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT"
+        " SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR"
+        " CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR"
+        " PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR"
+        " TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE"
+        " POSSIBILITY OF SUCH DAMAGE.",
+        "bsd",
+    ),
+    (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the"
+        " License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "apache-2.0",
+    ),
+    (
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an"
+        " \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific"
+        " language governing permissions and limitations under the License.",
+        "apache-2.0",
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as"
+        " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "gpl-3.0",
+    ),
+    (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
+        " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "gpl",
+    ),
+    (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed"
+        " with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "mpl-2.0",
+    ),
+    (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,"
+        " sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or"
+        " non-commercial, and by any means.",
+        "unlicense",
+    ),
+    (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for"
+        " any damages arising from the use of this software.",
+        "zlib",
+    ),
+)
+EVERY_TEMPLATE = TEMPLATES + FULL_TEXTS
+
 
 @dataclass(frozen=True)
 class Template:
@@ -55,10 +137,8 @@ def needed(n: int, threshold: float = THRESHOLD) -> int:
     return k if k >= n * threshold - 1e-9 else k + 1
 
 
-def word_sets(templates=TEMPLATES) -> list[tuple[frozenset[bytes], str]]:
+def word_sets(templates=EVERY_TEMPLATE) -> list[tuple[frozenset[bytes], str]]:
     found = [(frozenset(folded_words(text.encode())), label) for text, label in templates]
-    if sum(len(w) for w, _ in found) > MOST_TEMPLATE_WORDS:
-        raise ValueError(f"templates of more than {MOST_TEMPLATE_WORDS} words")
     return [(w, label) for w, label in found if w]
 
 
@@ -78,7 +158,7 @@ def document_counts(documents: DataFrame, words: frozenset[bytes]) -> DataFrame:
     return documents.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def ordered_templates(documents: DataFrame, templates=TEMPLATES) -> list[Template]:
+def ordered_templates(documents: DataFrame, templates=EVERY_TEMPLATE) -> list[Template]:
     sets = word_sets(templates)
     every = frozenset().union(*(w for w, _ in sets))
     counts = {bytes(r["word"]): r["n"] for r in document_counts(documents, every).collect()}  # as many rows as template words
@@ -131,10 +211,18 @@ def phrase_places(joined: bytes, phrase: bytes) -> list[int]:
     return out
 
 
+_BLANK_LINE = re.compile(rb"\n[ \t\r]*\n")
+
+
+def blocks_of(text: bytes) -> list[bytes]:
+    """The lines of a text, and behind them its paragraphs of more than one line."""
+    return text.split(b"\n") + [p for p in _BLANK_LINE.split(text) if b"\n" in p]
+
+
 _OUT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def scan(documents: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFrame:
+def scan(documents: DataFrame, templates=EVERY_TEMPLATE, phrases=PHRASES) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is 1 where a phrase stands, else the greatest share of a matched template's words held by one block, else 0.
@@ -160,8 +248,8 @@ def scan(documents: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFram
                         base.add(label)
                 labels, score = set(base), 1.0 if base else 0.0
                 if not matcher.prefix.keys().isdisjoint(words):
-                    for line in text.split(b"\n"):
-                        for k, common in matcher.matches(folded_words(line)):
+                    for block in blocks_of(text):
+                        for k, common in matcher.matches(folded_words(block)):
                             labels.add(matcher.templates[k].label)
                             score = max(score, common / len(matcher.templates[k].words))
                 rows.append(
@@ -173,8 +261,8 @@ def scan(documents: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> DataFram
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_OUT}")
 
 
-def matching_blocks(documents: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """The join itself: doc_id, block (line from 0), template (text), label, common, share."""
+def matching_blocks(documents: DataFrame, templates=EVERY_TEMPLATE) -> DataFrame:
+    """The join itself: doc_id, block (place among the lines, then the paragraphs), template (text), label, common, share."""
     ordered = ordered_templates(documents, templates)
     texts = [text for text, _ in templates if folded_words(text.encode())]
     kind = dict(documents.dtypes)["doc_id"]
@@ -186,8 +274,8 @@ def matching_blocks(documents: DataFrame, templates=TEMPLATES) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text")):
-                for at, line in enumerate(text.split(b"\n")):
-                    for k, common in matcher.matches(folded_words(line)):
+                for at, block in enumerate(blocks_of(text)):
+                    for k, common in matcher.matches(folded_words(block)):
                         t = matcher.templates[k]
                         rows.append((doc_id, at, texts[k], t.label, common, common / len(t.words)))
             cols = list(zip(*rows)) or [()] * 6
@@ -206,7 +294,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """Every phrase at every word and every line against every template."""
+    """Every phrase at every word, and every line and paragraph against every template."""
 
     def quoted(words) -> str:
         return "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
@@ -224,7 +312,8 @@ places AS (
   WHERE w[s + 1] = p[1] AND w[s + 1 : s + len(p)] = p),
 base AS (
   SELECT k, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, list(DISTINCT label) AS ls FROM places GROUP BY k),
-blocks AS (SELECT k, list_distinct({words.format('line')}) AS b FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d)),
+blocks AS (SELECT k, list_distinct({words.format('line')}) AS b FROM (
+  SELECT k, unnest(string_split(text, chr(10)) || list_filter(string_split_regex(text, '\\n[ \\t\\r]*\\n'), lambda p: contains(p, chr(10)))) AS line FROM d)),
 joined AS (SELECT k, label, needed, len(list_intersect(b, t)) AS common, len(t) AS n FROM blocks, templates),
 method AS (SELECT k, list(DISTINCT label) AS ls, max(common / n) AS share FROM joined WHERE common >= needed GROUP BY k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,

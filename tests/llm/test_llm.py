@@ -384,15 +384,26 @@ def test_license_scan(spark, documents, empty):
     assert licenses.scan(documents).count() == documents.count() and licenses.scan(empty).count() == 0
 
 
+def test_wrapped_notices(spark):
+    """Each template wrapped at every 7 words, between other paragraphs."""
+    docs = []
+    for i, (text, _) in enumerate(licenses.EVERY_TEMPLATE):
+        w = text.split()
+        docs.append((i, "First paragraph\n\n" + "\n".join(" ".join(w[k : k + 7]) for k in range(0, len(w), 7)) + "\n \nlast paragraph"))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(label in got[i]["labels"].split(",") and got[i]["score"] == 1.0 for i, (_, label) in enumerate(licenses.EVERY_TEMPLATE))
+
+
 def test_set_similarity_join_is_exact(spark):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(25)]
     templates = tuple((" ".join(rng.sample(vocabulary, rng.randrange(1, 12))), f"l{i}") for i in range(12))
-    docs = [(i, "\n".join(" ".join(rng.choices(vocabulary, k=rng.randrange(0, 15))) for _ in range(20))) for i in range(30)]
+    docs = [(i, rng.choice(["\n", "\n \t\n", "\n\n"]).join("\n".join(" ".join(rng.choices(vocabulary, k=rng.randrange(0, 9))) for _ in range(3)) for _ in range(8))) for i in range(30)]
     got = licenses.matching_blocks(spark.createDataFrame(docs, "doc_id long, text string"), templates)
     want = []
     for i, text in docs:
-        for at, line in enumerate(text.split("\n")):
+        paragraphs = [p for p in re.split("\n[ \t\r]*\n", text) if "\n" in p]
+        for at, line in enumerate(text.split("\n") + paragraphs):
             for t, label in templates:
                 a, b = set(t.split()), set(line.split())
                 if len(a & b) >= 0.8 * len(a) - 1e-9:
