@@ -607,8 +607,8 @@ def test_near_copies_of_the_pipeline(spark, monkeypatch):
                 root = [min(a, b) if r in (a, b) else r for r in root]
     far = [(simhash.fingerprint((texts[i] or "").encode()) ^ simhash.fingerprint((texts[r] or "").encode())).bit_count() > 2 for i, r in enumerate(root)]
     assert sum(far) > 20 and len(set(root)) > 60
-    for frequent in (resemblance.FREQUENT_IN_CHUNK, 10**9):
-        monkeypatch.setattr(resemblance, "FREQUENT_IN_CHUNK", frequent)
+    for frequent in (resemblance.FREQUENT_IN_CHUNKS, 10**9):
+        monkeypatch.setattr(resemblance, "FREQUENT_IN_CHUNKS", frequent)
         got = corpus_pipeline.drop_near_copies(spark, docs, "")
         assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
