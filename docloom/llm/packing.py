@@ -26,9 +26,9 @@ SEQUENCE = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and runs of them, kept with their ids in each generation of a Python worker's cache, some 200 bytes each.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Bytes of text that are looked up at once.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: New runs in one call of the tokenizer.
 CALL_RUNS = 2_000
 
@@ -292,17 +292,23 @@ def _plan_rows(plan: list) -> list[tuple]:
     return rows
 
 
+def _longs(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    """A small table of whole numbers, by Arrow: from a list of rows Spark would start Python workers of another kind for it, beside those
+    that tokenise."""
+    import pyarrow as pa
+
+    cols = zip(*rows) if rows else [[] for _ in names.split()]
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in cols], names=names.split()))
+
+
 def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ids_crc32 and others); reads them three times."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = spark.createDataFrame(
-        _plan_rows(plan_bins(counts, size)),
-        "p_length long, rank_from long, rank_to long, first_sequence long, in_sequence long, first_offset long",
-    )
+    plan = _longs(spark, _plan_rows(plan_bins(counts, size)), "p_length rank_from rank_to first_sequence in_sequence first_offset")
     # at most size + 65,536 salted groups in all, of an even share each
     share = max(256, sum(counts.values()) // 65_536)
-    salts = spark.createDataFrame([(k, 1 + n // share) for k, n in counts.items()], "length long, salts long")
+    salts = _longs(spark, [(k, 1 + n // share) for k, n in counts.items()], "length salts")
     salted = pieces.join(F.broadcast(salts), "length").withColumn(
         "salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))
     )
