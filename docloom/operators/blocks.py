@@ -56,17 +56,19 @@ def text_blocks(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class _Blocks(HTMLParser):
-    """Blocks of a page by its tags. Start tags of blocks end an open paragraph; bold and italic hold until their end tag."""
+    """Blocks of a page by its tags. Start tags of blocks end an open paragraph; bold and italic hold until their end tag. A table
+    within a cell is a block of its own before the outer table."""
 
     LEAF = {"p", "blockquote", "dd", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th"}
     BOX = {"div", "article", "section", "main", "body", "nav", "header", "footer", "aside", "ul", "ol", "table", "tr", "html"}
-    HIDDEN = {"script", "style", "noscript", "template", "head", "title"}
+    #: not head: its end tag is optional, and what it may hold has no text or is hidden itself
+    HIDDEN = {"script", "style", "noscript", "template", "title"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out, self.runs, self.kind, self.hidden = [], [], None, 0
         self.bold = self.italic = 0
-        self.lists, self.table, self.pre = [], None, None
+        self.lists, self.tables, self.pre = [], [], None
 
     def _add(self, type_, **more):
         row = dict.fromkeys(("level", "ordered", "idx", "depth", "runs", "rows", "src", "text"))
@@ -80,8 +82,8 @@ class _Blocks(HTMLParser):
             runs = [r for r in runs if r["text"]]
         kind, self.runs, self.kind = self.kind, [], None
         if kind in ("td", "th"):
-            if self.table:
-                self.table[-1].append("".join(r["text"] for r in runs).replace("\n", " "))
+            if self.tables and self.tables[-1]:
+                self.tables[-1][-1].append("".join(r["text"] for r in runs).replace("\n", " "))
         elif runs and kind == "li" and self.lists:
             self.lists[-1][1] += 1
             self._add("li", ordered=self.lists[-1][0] == "ol", idx=self.lists[-1][1], depth=len(self.lists) - 1, runs=runs)
@@ -112,9 +114,9 @@ class _Blocks(HTMLParser):
             if tag in ("ul", "ol"):
                 self.lists.append([tag, 0])
             elif tag == "table":
-                self.table = []
-            elif tag == "tr" and self.table is not None:
-                self.table.append([])
+                self.tables.append([])
+            elif tag == "tr" and self.tables:
+                self.tables[-1].append([])
         self.bold += tag in ("b", "strong")
         self.italic += tag in ("i", "em")
 
@@ -128,10 +130,8 @@ class _Blocks(HTMLParser):
             self.flush()
             if tag in ("ul", "ol") and self.lists:
                 self.lists.pop()
-            elif tag == "table" and self.table is not None:
-                if self.table:
-                    self._add("table", rows=self.table)
-                self.table = None
+            elif tag == "table" and self.tables and (rows := self.tables.pop()):
+                self._add("table", rows=rows)
         elif tag in ("b", "strong"):
             self.bold = max(0, self.bold - 1)
         elif tag in ("i", "em"):

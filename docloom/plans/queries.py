@@ -104,6 +104,15 @@ def broken_links(spark, sf_dir):
     return audit.broken_links(table(spark, sf_dir, "pages"))
 
 
+@query(rf"""
+SELECT DISTINCT page_id, target, anchor FROM ({_SQL_LINKS}) l
+WHERE kind = 'internal' AND anchor <> '' AND target IN (SELECT {_SQL_PATH} FROM pages)
+  AND NOT EXISTS (SELECT 1 FROM (SELECT {_SQL_PATH} AS p, unnest(regexp_extract_all(html, '\sid="([^"]+)"', 1)) AS a FROM pages) i WHERE i.p = l.target AND i.a = l.anchor)
+""")
+def broken_anchors(spark, sf_dir):
+    return audit.broken_anchors(table(spark, sf_dir, "pages"))
+
+
 @query(rf"""
 SELECT page_id, {_SQL_PATH} AS path FROM pages
 WHERE {_SQL_PATH} NOT IN (SELECT target FROM ({_SQL_LINKS}) WHERE kind = 'internal' AND target <> path)

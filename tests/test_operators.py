@@ -45,6 +45,19 @@ def blocks_text(r):
     return "".join(x["text"] for x in r["runs"] or [])
 
 
+def test_html_blocks_of_open_heads_and_nested_tables(spark):
+    pages = spark.createDataFrame(
+        [
+            (1, "<html><head><title>x</title><body><p>hi</p></body></html>"),
+            (2, "<table><tr><td>a<table><tr><td>in</td></tr></table></td><td>b</td></tr><tr><td>c</td></tr></table>"),
+        ],
+        "page_id int, html string",
+    )
+    got = blocks.html_blocks(pages).collect()
+    assert [(r["type"], [x["text"] for x in r["runs"]]) for r in got if r["doc_id"] == 1] == [("p", ["hi"])]
+    assert [r["rows"] for r in got if r["doc_id"] == 2] == [[["in"]], [["a", "b"], ["c"]]]
+
+
 def test_trim_runs_and_paragraphs(spark):
     runs = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic")) for t in (" ", "", " a", "b \n")))
     got = spark.range(1).select(blocks.trim_runs(runs).alias("r")).first()["r"]
