@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language, licenses, packing, secrets, simhash, substrings, toxicity, warc
+from . import decontamination, exact_dedup, language, licenses, packing, secrets, simhash, spelling, substrings, toxicity, warc
 
 QUERIES = {
     "op1_warc_archives": warc.op1_warc_archives,
@@ -15,6 +15,15 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash": simhash.op10_simhash,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
-ORACLES = {"op1_warc_archives": warc.ORACLE, "op2_license_scan": licenses.ORACLE, "op5_substring_dedup": substrings.ORACLE, "op7_secret_scan": secrets.ORACLE, "op4_decontamination": decontamination.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op1_warc_archives": warc.ORACLE,
+    "op2_license_scan": licenses.ORACLE,
+    "op4_decontamination": decontamination.ORACLE,
+    "op5_substring_dedup": substrings.ORACLE,
+    "op7_secret_scan": secrets.ORACLE,
+    "op9_exact_dedup": exact_dedup.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
+}
