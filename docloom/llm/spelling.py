@@ -1,11 +1,11 @@
 """Spelling variants: k-d trees over letter-count vectors find all words one edit apart.
 
 Words are counted in the tasks first, so a word on a third of all rows meets as one row a task. Each word is a point:
-how often it has each letter. One replaced letter moves the point by L1 distance 2, an inserted or deleted one by 1.
-Words of one length share a k-d tree: its upper levels, planes taken from a bounded sample, cut a frequent length into
-cells of about CELL words; its lower levels are built where a cell is searched. A word goes to its own cell, and as a
-query to those of its length (later ones, so that each pair meets once) and of the next length whose boxes lie within
-the distance. In a cell, tight boxes prune the search; what is left is verified letter by letter.
+how often it has each letter (twice at most). One replaced letter moves the point by L1 distance 2, an inserted or
+deleted one by 1. Words of one length share a k-d tree: its upper levels, planes taken from a bounded sample, cut a
+frequent length into cells of about CELL words; its lower levels are built where a cell is searched. A word goes to its
+own cell, and as a query to those of its length (later ones, so that each pair meets once) and of the next length whose
+boxes lie within the distance. In a cell, tight boxes prune the search; what is left is verified letter by letter.
 
 A cell far above CELL (words with the same letters in other orders can't be cut by planes) goes by joins on the words less
 one letter, where no key can hold more words than there are letters.
@@ -31,15 +31,16 @@ FACTOR = 10
 #: One run in so many loses a letter, by a hash of document and run.
 SLIP = 31
 CELL = 20_000
-CROWDED = 10 * CELL
+CROWDED = 4 * CELL
 SAMPLE = 100_000
 #: Different words that a task counts before it passes them on.
 HELD = 100_000
 CHUNK = 1 << 20
 QUERIES = 20_000
-POINTS = 32
-#: a-z have a coordinate each, letters beyond share six.
-SIZE = 32
+POINTS = 64
+BLOCK = 2048
+#: a-z have an axis each, letters beyond share six.
+AXES = 32
 
 _RUN = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0xC0 else 0x20 for c in range(256)
@@ -97,87 +98,94 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return counted.where(F.col("n") >= COUNT)
 
 
-def vectors(words: list[bytes]) -> np.ndarray:
-    """Letter counts; held at 120, which can only make distances smaller."""
+def codes(words: list[bytes]) -> np.ndarray:
+    """Letter counts as 64 bits: a bit for each axis with a letter, and one for each with two or more.
+
+    Bits that differ are the L1 distance of the counts held at two, so never more than the distance itself.
+    """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    places = np.repeat(np.arange(len(words)) * SIZE, lengths) + _AXIS[np.frombuffer(b"".join(words), np.uint8)]
-    return np.minimum(np.bincount(places, minlength=len(words) * SIZE), 120).astype(np.int8).reshape(-1, SIZE)
+    places = np.repeat(np.arange(len(words)) * AXES, lengths) + _AXIS[np.frombuffer(b"".join(words), np.uint8)]
+    counts = np.bincount(places, minlength=len(words) * AXES).reshape(-1, AXES)
+    return np.packbits(np.concatenate((counts > 0, counts > 1), 1), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def _cut(points: np.ndarray) -> tuple[int, int] | None:
-    """Axis and value of the plane through the most varied axis; None if all points are the same."""
-    axis = int(np.argmax(points.var(0, dtype=np.float32)))
-    values = points[:, axis]
-    low, high = int(values.min()), int(values.max())
-    if low == high:
-        return None
-    middle = int(np.median(values))
-    return axis, middle if middle < high else middle - 1
+def _bits(points: np.ndarray) -> np.ndarray:
+    return np.unpackbits(points.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _plane(points: np.ndarray) -> int | None:
+    """The plane (an axis at one or at two, as its bit) that parts the points most evenly; None if nothing does."""
+    share = np.abs(_bits(points).mean(0, dtype=np.float32) - 0.5)
+    bit = int(share.argmin())
+    return bit if share[bit] < 0.5 else None
+
+
+def _sides(points: np.ndarray, bit: int) -> np.ndarray:
+    return (points >> np.uint64(bit) & np.uint64(1)).astype(bool)
 
 
 def planes(points: np.ndarray, cells: int):
-    """A tree of (axis, value, tree up to it, tree above it); a leaf is None."""
-    if cells < 2 or len(points) < 2 or (cut := _cut(points)) is None:
+    """A tree of (bit, tree of the points without it, tree of those with it); a leaf is None."""
+    if cells < 2 or len(points) < 2 or (bit := _plane(points)) is None:
         return None
-    low = points[:, cut[0]] <= cut[1]
-    share = low.mean()
-    return (*cut, planes(points[low], round(cells * share)), planes(points[~low], round(cells * (1 - share))))
+    there = _sides(points, bit)
+    more = round(cells * there.mean())
+    return bit, planes(points[~there], cells - more), planes(points[there], more)
 
 
 def _numbered(tree, first: int = 0):
     """The tree with its leaves numbered from first, and the next number."""
     if tree is None:
         return first, first + 1
-    low, first = _numbered(tree[2], first)
-    high, first = _numbered(tree[3], first)
-    return (tree[0], tree[1], low, high), first
+    low, first = _numbered(tree[1], first)
+    high, first = _numbered(tree[2], first)
+    return (tree[0], low, high), first
 
 
 def cells_within(tree, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the point, leaf) for the leaves whose boxes lie within the radius."""
     found = []
 
-    def walk(node, rows, off):  # off: per row and axis, how far the box is
+    def walk(node, rows, known, value):  # the node's box: the bits it settles, and how
+        rows = rows[np.bitwise_count((points[rows] ^ value) & known) <= radius]
         if isinstance(node, int):
             found.append((rows, np.full(len(rows), node)))
-            return
-        axis, value, low, high = node
-        at = points[rows, axis].astype(np.int64)
-        for side, gap in ((low, np.maximum(at - value, 0)), (high, np.maximum(value + 1 - at, 0))):
-            there = off.copy()
-            there[:, axis] = np.maximum(there[:, axis], gap)
-            near = there.sum(1) <= radius
-            if near.any():
-                walk(side, rows[near], there[near])
-
-    walk(tree, np.arange(len(points)), np.zeros((len(points), SIZE), np.int64))
+        elif len(rows):
+            bit = np.uint64(1) << np.uint64(node[0])
+            walk(node[1], rows, known | bit, value)
+            walk(node[2], rows, known | bit, value | bit)
+
+    walk(tree, np.arange(len(points)), np.uint64(0), np.uint64(0))
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def boxed(data: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, point) within the radius: a tree over data, in whose tight boxes ever fewer queries go down."""
-    stack = [(np.arange(len(data)), np.arange(len(queries)))]
+def tree_of(points: np.ndarray, rows: np.ndarray):
+    """(what all points have, what any has, rows of a leaf or None, lower tree, upper tree): boxes as tight as can be."""
+    mine = points[rows]
+    bit = _plane(mine) if len(rows) > POINTS else None
+    box = np.bitwise_and.reduce(mine), np.bitwise_or.reduce(mine)
+    if bit is None:
+        return *box, rows, None, None
+    there = _sides(mine, bit)
+    return *box, None, tree_of(points, rows[~there]), tree_of(points, rows[there])
+
+
+def within(tree, points: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, point) within the radius; boxes prune, so ever fewer queries go down."""
+    stack = [(tree, np.arange(len(queries)))]
     while stack:
-        rows, asked = stack.pop()
-        points = data[rows]
-        low, high = points.min(0), points.max(0)
+        (every, any_, rows, low, high), asked = stack.pop()
         mine = queries[asked]
-        gap = np.maximum(low - mine, 0) + np.maximum(mine - high, 0)  # one of them is 0
-        asked = asked[gap.sum(1, dtype=np.int32) <= radius]
-        if not len(asked):
+        asked = asked[np.bitwise_count(every & ~mine | mine & ~any_) <= radius]
+        if rows is None:
+            stack += [(low, asked), (high, asked)] if len(asked) else []
             continue
-        cut = _cut(points) if len(rows) > POINTS else None
-        if cut is None:
-            for at in range(0, len(rows), 4 * POINTS):
-                part = points[at : at + 4 * POINTS]
-                for begin in range(0, len(asked), 2048):
-                    some = asked[begin : begin + 2048]
-                    apart = np.abs(queries[some][:, None] - part[None]).sum(2, dtype=np.int32)
-                    q, p = np.nonzero(apart <= radius)
-                    yield some[q], rows[at + p]
-        else:
-            below = points[:, cut[0]] <= cut[1]
-            stack += [(rows[below], asked), (rows[~below], asked)]
+        for at in range(0, len(rows), BLOCK):
+            part = points[rows[at : at + BLOCK]]
+            for begin in range(0, len(asked), BLOCK):
+                some = asked[begin : begin + BLOCK]
+                q, p = np.nonzero(np.bitwise_count(queries[some][:, None] ^ part) <= radius)
+                yield some[q], rows[at + p]
 
 
 def one_edit(short: np.ndarray, long: np.ndarray) -> np.ndarray:
@@ -210,7 +218,7 @@ def _dealt(words: DataFrame, trees: dict) -> DataFrame:
             if not texts:
                 continue
             raw = [t.encode("latin-1") for t in texts]
-            lengths, points = np.array(list(map(len, raw))), vectors(raw)
+            lengths, points = np.array(list(map(len, raw))), codes(raw)
             out = []
             for length in np.unique(lengths).tolist():
                 rows = np.flatnonzero(lengths == length)
@@ -252,9 +260,10 @@ def _search(batches: Iterator) -> Iterator:
 
     def matched(queries, query_n, radius, inside):
         if not state:
-            state.update(points=vectors(own), letters=_letters(own))
-        points, letters = vectors(queries), _letters(queries)
-        for q, p in boxed(state["points"], points, radius):
+            state.update(points=codes(own), letters=_letters(own))
+            state["tree"] = tree_of(state["points"], np.arange(len(own)))
+        points, letters = codes(queries), _letters(queries)
+        for q, p in within(state["tree"], state["points"], points, radius):
             if inside:
                 q, p = q[q < p], p[q < p]
             block = max(1, (1 << 24) // letters.shape[1])
@@ -324,7 +333,7 @@ def _trees(words: DataFrame, cell: int, sample: int) -> dict:
     by_length: dict[int, list[bytes]] = {}
     for r in drawn.toLocalIterator():
         by_length.setdefault(len(r["word"]), []).append(r["word"].encode("latin-1"))
-    return {n: _numbered(planes(vectors(ws), -(-frequent[n] // cell)))[0] for n, ws in by_length.items()}
+    return {n: _numbered(planes(codes(ws), -(-frequent[n] // cell)))[0] for n, ws in by_length.items()}
 
 
 def near_pairs(words: DataFrame, scratch: Scratch, cell: int = CELL, crowded: int = CROWDED, sample: int = SAMPLE) -> DataFrame:
