@@ -188,6 +188,19 @@ def within(tree, points: np.ndarray, queries: np.ndarray, radius: int) -> Iterat
                 yield some[q], rows[at + p]
 
 
+def gathered(pairs: Iterator, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in blocks of about so many."""
+    held, size = [], 0
+    for q, p in pairs:
+        held.append((q, p))
+        size += len(q)
+        if size >= block:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def one_edit(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     """Rows of letters that differ by exactly one replaced letter, or by one more in long."""
     n = short.shape[1]
@@ -262,17 +275,13 @@ def _search(batches: Iterator) -> Iterator:
         if not state:
             state.update(points=codes(own), letters=_letters(own))
             state["tree"] = tree_of(state["points"], np.arange(len(own)))
-        points, letters = codes(queries), _letters(queries)
-        for q, p in within(state["tree"], state["points"], points, radius):
-            if inside:
-                q, p = q[q < p], p[q < p]
-            block = max(1, (1 << 24) // letters.shape[1])
-            for at in range(0, len(q), block):
-                x, y = q[at : at + block], p[at : at + block]
-                right = one_edit(letters[x], state["letters"][y])
-                x, y = x[right].tolist(), y[right].tolist()
-                if x:
-                    yield emit([queries[i] for i in x], [query_n[i] for i in x], [own[i] for i in y], [counts[i] for i in y])
+        letters = _letters(queries)
+        block = max(1, (1 << 23) // letters.shape[1])
+        for q, p in gathered(within(state["tree"], state["points"], codes(queries), radius), block):
+            x, y = (q[q < p], p[q < p]) if inside else (q, p)
+            right = one_edit(letters[x], state["letters"][y])
+            x, y = x[right].tolist(), y[right].tolist()
+            yield emit([queries[i] for i in x], [query_n[i] for i in x], [own[i] for i in y], [counts[i] for i in y])
 
     def flushed(role):
         words, n = waiting[role]
