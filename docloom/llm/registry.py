@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language, licenses, packing, secrets, simhash, spelling, substrings, toxicity, warc
+from . import decontamination, exact_dedup, language, licenses, nearest, packing, secrets, simhash, spelling, substrings, toxicity, warc
 
 QUERIES = {
     "op1_warc_archives": warc.op1_warc_archives,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash": simhash.op10_simhash,
+    "op11_voronoi_knn": nearest.op11_voronoi_knn,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op5_substring_dedup": substrings.ORACLE,
     "op7_secret_scan": secrets.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_voronoi_knn": nearest.ORACLE,
     "op13_spelling_variants": spelling.ORACLE,
 }
