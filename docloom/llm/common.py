@@ -88,3 +88,13 @@ def utf8(batch, name: str) -> list[bytes]:
     import pyarrow as pa
 
     return [b"" if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text below U+0800: a fold over its bits, least significant first."""
+    char = "unicode(x)"
+    octets = f"CASE WHEN {char} < 128 THEN [{char}] ELSE [192 + ({char} >> 6), 128 + ({char} & 63)] END"
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda x: {octets}))"
+    bits = f"flatten(list_transform({bits}, lambda x: list_transform(range(8), lambda i: (x >> i::INT) & 1)))::BIGINT[]"
+    fold = "lambda c, d: xor(c >> 1, (xor(c, d) & 1) * 3988292384::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {bits}), {fold}))"

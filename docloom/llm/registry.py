@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language, licenses, nearest, packing, secrets, simhash, spelling, substrings, toxicity, warc
+from . import decontamination, exact_dedup, language, licenses, nearest, packing, secrets, simhash, spelling, substrings, toxicity, tries, warc
 
 QUERIES = {
     "op1_warc_archives": warc.op1_warc_archives,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_simhash": simhash.op10_simhash,
     "op11_voronoi_knn": nearest.op11_voronoi_knn,
+    "op12_prefix_trie": tries.op12_prefix_trie,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
@@ -27,5 +28,6 @@ ORACLES = {
     "op7_secret_scan": secrets.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op11_voronoi_knn": nearest.ORACLE,
+    "op12_prefix_trie": tries.ORACLE,
     "op13_spelling_variants": spelling.ORACLE,
 }

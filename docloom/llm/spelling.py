@@ -23,7 +23,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Scratch, read
+from .common import Scratch, crc32_sql, read
 
 LETTERS = 7
 COUNT = 2
@@ -396,22 +396,15 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read(spark, sf_dir, "documents"))
 
 
-ORACLE = """
+ORACLE = f"""
 WITH RECURSIVE runs AS (
     SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
     FROM documents
 ), counted AS (
     SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS named, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL
-), bytes AS (
-    SELECT run, n, flatten(list_transform(string_split(named, ''), lambda x:
-        CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS b
-    FROM counted
 ), hashed AS (
-    SELECT run, n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
-        flatten(list_transform(b, lambda x: list_transform(range(8), lambda i: (x >> i::INT) & 1)))::BIGINT[]),
-        lambda c, d: xor(c >> 1, (xor(c, d) & 1) * 3988292384::BIGINT))) AS h
-    FROM bytes
+    SELECT run, n, {crc32_sql("named")} AS h FROM counted
 ), slipped AS (
     SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, n
     FROM hashed
@@ -425,7 +418,7 @@ WITH RECURSIVE runs AS (
     UNION SELECT w.word, l.word, l.n FROM words w JOIN less l ON w.word = l.rest
     UNION SELECT l.word, w.word, w.n FROM words w JOIN less l ON w.word = l.rest
 ), best AS (
-    SELECT word, count(*) AS n_near, min({'minus': -other_n, 'form': other}) AS b FROM near GROUP BY word
+    SELECT word, count(*) AS n_near, min({{'minus': -other_n, 'form': other}}) AS b FROM near GROUP BY word
 ), named AS (
     SELECT word, n, coalesce(n_near, 0) AS n_near,
            CASE WHEN -b.minus >= 10 * n THEN b.form END AS form, CASE WHEN -b.minus >= 10 * n THEN -b.minus END AS form_n
