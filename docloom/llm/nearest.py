@@ -53,7 +53,7 @@ def _matrix(column, width: int) -> np.ndarray:
     lengths = np.diff(column.offsets.to_numpy())
     flat = np.floor(column.flatten().to_numpy(zero_copy_only=False))
     if (lengths == width).all():
-        return flat.reshape(-1, width)
+        return flat.reshape(len(lengths), width)
     out = np.zeros((len(lengths), width))
     out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return out
@@ -87,7 +87,8 @@ class Space:
             self.pivots = np.where(n > 0, sums / np.maximum(n, 1), self.pivots)
 
     def lengthened(self, data: np.ndarray) -> np.ndarray:
-        return np.column_stack([data, np.sqrt(np.maximum(self.longest - (data**2).sum(1), 0))])
+        with np.errstate(all="ignore"):
+            return np.column_stack([data, np.sqrt(np.maximum(self.longest - (data**2).sum(1), 0))])
 
     def distances(self, points: np.ndarray) -> np.ndarray:
         with np.errstate(all="ignore"):
@@ -277,6 +278,8 @@ def _solve(width: int, k: int):
                 if not data[a]:
                     parts.append((rid[a:b], ids[a:b], x[a:b]))
                     continue
+                if not parts:  # no query of a cell dealt over several groups came here
+                    continue
                 if not state:
                     begin()
                 while a < b:
