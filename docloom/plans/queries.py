@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dimensions as D
 from ..functions import text as T
-from ..operators import archive, audit, blocks, cells, convert, detect, images, markdown, pixels, relations
+from ..operators import archive, audit, blocks, cells, convert, detect, images, layout, markdown, pixels, relations
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -745,3 +745,75 @@ def item_lines(spark, sf_dir):
     placed = item.select("doc_id", "ord", (F.lit(5000) - F.floor(i / 3) * 20 - i % 3).alias("y"), F.lit(14).alias("h"), "text", F.lit(False).alias("ends"))
     lines = blocks.lines_of_items(placed)
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+# ---- lines and pages
+
+
+def _sql_wrapped(text: str, limit: str, face: tuple[int, ...], beyond: int) -> str:
+    """SQL for the lines of a text without words longer than a line: a fold over its words, stretch by stretch."""
+    char = f"list_sum(list_transform(string_split(w, ''), lambda c: CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN {list(face)}[unicode(c) - 31] ELSE {beyond} END))::BIGINT"
+    words = f"list_transform(regexp_extract_all(s, ' *[^ ]+'), lambda x: {{'g': regexp_extract(x, '^ *'), 't': ltrim(x), 'w': {char.replace('w,', 'ltrim(x),')}}})"
+    fits = f"a.w + {face[0]} * length(x.g) + x.w <= {limit}"
+    fold = f"""list_reduce({words}, lambda a, x: {{'g': '', 't': a.t || CASE WHEN {fits} THEN x.g ELSE chr(10) END || x.t,
+        'w': CASE WHEN {fits} THEN a.w + {face[0]} * length(x.g) + x.w ELSE x.w END}}).t"""
+    one = f"CASE WHEN trim(s) <> '' THEN string_split({fold}, chr(10)) WHEN i < len(string_split({text}, chr(10))) THEN [''] ELSE [] END"
+    return f"flatten(list_transform(string_split({text}, chr(10)), lambda s, i: {one}))"
+
+
+_A4_LINE = int((595.28 - 112) / 11 * 1000)
+
+
+@query(f"SELECT doc_id, i - 1 AS line, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {_sql_wrapped('text', _A4_LINE, layout.PLAIN, 556)} AS ls FROM documents))")
+def line_wrap(spark, sf_dir):
+    """Documents in lines as wide as an A4 page at 11 points."""
+    lines = layout.wrapped(F.col("text"), layout.limit(layout.PAGES["a4"][0] - 2 * layout.MARGIN, 11.0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("line", "text"))
+
+
+_SQL_ITEMS = f"""
+    SELECT doc_id, ord, page_breaks, lv, size, ls, n FROM (
+        SELECT doc_id, 3 * i + 1 AS ord, (i + 1) // 4 AS page_breaks, 1 + i % 6 AS lv, round([1.9, 1.5, 1.25, 1.1, 1.0, 1.0][1 + i % 6] * 11, 3) AS size,
+               {_sql_wrapped('role', 'floor(483280 / size * 1 + 0.000001)', layout.BOLD, 611)} AS ls, len(ls) AS n FROM t
+        UNION ALL
+        SELECT doc_id, 3 * i + 2, (i + 1) // 4, 0, 11, {_sql_wrapped('text', _A4_LINE, layout.PLAIN, 556)} AS ls, len(ls) FROM t)
+"""
+
+
+@query(f"""
+WITH RECURSIVE t AS (
+    SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i, role, text FROM conversations
+), b AS ({_SQL_ITEMS}), l AS (
+    SELECT doc_id, ord, k - 1 AS line, ls[k] AS text, page_breaks, (size * 1000)::BIGINT AS size,
+           CASE WHEN lv > 0 THEN round(size * 1300) ELSE 15950 END::BIGINT AS height,
+           CASE WHEN lv > 0 AND k = 1 THEN round(size * 2400) WHEN lv > 0 THEN round(size * 1300) ELSE 15950 END::BIGINT AS need,
+           CASE WHEN lv > 0 AND k = 1 THEN round(size * 600) ELSE 0 END::BIGINT AS before,
+           CASE WHEN k < n THEN 0 WHEN lv > 0 THEN round(size * 350) ELSE 7700 END::BIGINT AS after
+    FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM b)
+), o AS (
+    SELECT *, row_number() OVER w AS nth, coalesce(lag(page_breaks) OVER w, 0) AS was, coalesce(lag(after) OVER w, 0) AS gap FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY ord, line)
+), sim AS (
+    SELECT doc_id, nth, 1 + page_breaks AS page, before AS y, before + height AS below FROM o WHERE nth = 1
+    UNION ALL
+    SELECT doc_id, nth, page + breaks + (pos + need > 729890)::INT, CASE WHEN pos + need > 729890 THEN 0 ELSE pos END,
+           CASE WHEN pos + need > 729890 THEN 0 ELSE pos END + height
+    FROM (SELECT o.doc_id, o.nth, s.page, o.page_breaks - o.was AS breaks, o.need, o.height,
+                 CASE WHEN o.page_breaks > o.was THEN o.before ELSE s.below + o.gap + o.before END AS pos
+          FROM sim s JOIN o ON o.doc_id = s.doc_id AND o.nth = s.nth + 1)
+)
+SELECT o.doc_id, sim.page, o.ord, o.line, 56.0::DOUBLE AS x, (785890 - sim.y - o.size) / 1000 AS y, o.text FROM o JOIN sim USING (doc_id, nth)
+""")
+def page_layout(spark, sf_dir):
+    """Conversations as pages: roles are headings of several levels, texts paragraphs, and every fourth turn begins a page."""
+    turns = table(spark, sf_dir, "conversations")
+    i = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1
+    t = turns.select(F.col("conv_id").alias("doc_id"), i.alias("i"), "role", "text")
+
+    def block(kind: str, text: str, ord_: int):
+        run = F.struct(F.col(text).alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic"))
+        return F.struct((F.col("i") * 3 + ord_).alias("ord"), F.lit(kind).alias("type"), (F.col("i") % 6 + 1).alias("level"), F.array(run).alias("runs"))
+
+    blocks_ = F.concat(F.when(F.col("i") % 4 == 3, F.array(block("pagebreak", "role", 0))).otherwise(F.array()), F.array(block("h", "role", 1), block("p", "text", 2)))
+    b = t.select("doc_id", F.explode(blocks_).alias("b")).select("doc_id", "b.*")
+    b = b.selectExpr("*", "CAST(NULL AS BOOLEAN) AS ordered", "CAST(NULL AS INT) AS idx", "CAST(NULL AS INT) AS depth", "CAST(NULL AS ARRAY<ARRAY<STRING>>) AS rows", "CAST(NULL AS STRING) AS text")
+    return layout.layout(b).drop("part")
