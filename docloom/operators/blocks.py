@@ -6,12 +6,10 @@ runs array<struct<text,bold,italic>>, rows array<array<string>>, src, text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .html import html_blocks  # noqa: F401
 
 RUN = "struct<text:string,bold:boolean,italic:boolean>"
 BLOCK = (
@@ -39,11 +37,16 @@ def trim_runs(runs: Column) -> Column:
 # ---- parsing
 
 
-def paragraphs(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, ord, text: parts between blank lines, trimmed, form feeds removed, empty ones dropped."""
-    unix = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?", "\n")
+def paragraphs_of(text: Column) -> Column:
+    """Parts between blank lines, trimmed, form feeds removed, empty ones dropped."""
+    unix = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
     parts = F.transform(F.split(unix, rf"\n{T.WS}*\n"), lambda p: T.trimmed(F.replace(p, F.lit("\f"), F.lit(""))))
-    return documents.select("doc_id", F.posexplode(F.filter(parts, lambda p: p != "")).alias("ord", "text"))
+    return F.filter(parts, lambda p: p != "")
+
+
+def paragraphs(documents: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id, ord, text of the paragraphs of each text."""
+    return documents.select("doc_id", F.posexplode(paragraphs_of(F.col(text_col))).alias("ord", "text"))
 
 
 def text_blocks(documents: DataFrame, text_col: str = "text") -> DataFrame:
@@ -55,129 +58,6 @@ def text_blocks(documents: DataFrame, text_col: str = "text") -> DataFrame:
     return p.select("doc_id", "ord", *(x.split()[0] for x in BLOCK.replace(f"array<{RUN}>", "runs").split(", ")))
 
 
-class _Blocks(HTMLParser):
-    """Blocks of a page by its tags. Start tags of blocks end an open paragraph; bold and italic hold until their end tag. A table
-    within a cell is a block of its own before the outer table."""
-
-    LEAF = {"p", "blockquote", "dd", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th"}
-    BOX = {"div", "article", "section", "main", "body", "nav", "header", "footer", "aside", "ul", "ol", "table", "tr", "html"}
-    #: not head: its end tag is optional, and what it may hold has no text or is hidden itself
-    HIDDEN = {"script", "style", "noscript", "template", "title"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.runs, self.kind, self.hidden = [], [], None, 0
-        self.bold = self.italic = 0
-        self.lists, self.tables, self.pre = [], [], None
-
-    def _add(self, type_, **more):
-        row = dict.fromkeys(("level", "ordered", "idx", "depth", "runs", "rows", "src", "text"))
-        self.out.append(row | {"type": type_} | more)
-
-    def flush(self):
-        runs = [r for r in self.runs if r["text"]]
-        if runs:
-            runs[0]["text"] = runs[0]["text"].lstrip()
-            runs[-1]["text"] = runs[-1]["text"].rstrip()
-            runs = [r for r in runs if r["text"]]
-        kind, self.runs, self.kind = self.kind, [], None
-        if kind in ("td", "th"):
-            if self.tables and self.tables[-1]:
-                self.tables[-1][-1].append("".join(r["text"] for r in runs).replace("\n", " "))
-        elif runs and kind == "li" and self.lists:
-            self.lists[-1][1] += 1
-            self._add("li", ordered=self.lists[-1][0] == "ol", idx=self.lists[-1][1], depth=len(self.lists) - 1, runs=runs)
-        elif runs and kind and kind[0] == "h" and kind[1:].isdigit():
-            self._add("h", level=int(kind[1]), runs=[r | {"bold": True} for r in runs])
-        elif runs:
-            self._add("p", runs=runs)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.HIDDEN:
-            self.hidden += 1
-        elif tag == "br":
-            if self.kind:
-                self.runs.append({"text": "\n", "bold": False, "italic": False})
-        elif tag == "img":
-            self._add("img", src=dict(attrs).get("src"))
-        elif tag == "hr":
-            self.flush()
-            self._add("hr")
-        elif tag == "pre":
-            self.flush()
-            self.pre = []
-        elif tag in self.LEAF:
-            self.flush()
-            self.kind = tag
-        elif tag in self.BOX:
-            self.flush()
-            if tag in ("ul", "ol"):
-                self.lists.append([tag, 0])
-            elif tag == "table":
-                self.tables.append([])
-            elif tag == "tr" and self.tables:
-                self.tables[-1].append([])
-        self.bold += tag in ("b", "strong")
-        self.italic += tag in ("i", "em")
-
-    def handle_endtag(self, tag):
-        if tag in self.HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "pre" and self.pre is not None:
-            self._add("code", text="".join(self.pre).removesuffix("\n"))
-            self.pre = None
-        elif tag in self.LEAF or tag in self.BOX:
-            self.flush()
-            if tag in ("ul", "ol") and self.lists:
-                self.lists.pop()
-            elif tag == "table" and self.tables and (rows := self.tables.pop()):
-                self._add("table", rows=rows)
-        elif tag in ("b", "strong"):
-            self.bold = max(0, self.bold - 1)
-        elif tag in ("i", "em"):
-            self.italic = max(0, self.italic - 1)
-
-    def handle_data(self, data):
-        if self.pre is not None:
-            self.pre.append(data)
-        elif not self.hidden and (self.kind or data.strip()):
-            text = data if not self.runs and not self.kind else data
-            self.runs.append({"text": _collapse(text), "bold": self.bold > 0 or self.kind == "th", "italic": self.italic > 0})
-
-
-def _collapse(text: str) -> str:
-    inner = " ".join(text.split())
-    if not inner:
-        return " " if text else ""
-    return (" " if text[0].isspace() else "") + inner + (" " if text[-1].isspace() else "")
-
-
-def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """HTML to block rows. Null html has none."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for doc_id, html in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-                parser = _Blocks()
-                parser.feed(html or "")
-                parser.close()
-                parser.flush()
-                rows += [{"doc_id": doc_id, "ord": i} | b for i, b in enumerate(parser.out)]
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    import pyarrow as pa
-
-    piece = pa.struct([("text", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_())])
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("ord", pa.int32()), ("type", pa.string()), ("level", pa.int32()), ("ordered", pa.bool_()), ("idx", pa.int32()),
-        ("depth", pa.int32()), ("runs", pa.list_(piece)), ("rows", pa.list_(pa.list_(pa.string()))), ("src", pa.string()), ("text", pa.string()),
-    ])
-    return pages.select(F.col(id_col).cast("long"), html_col).mapInArrow(run, f"doc_id long, ord int, {BLOCK}")
-
-
 # ---- reflow of positioned lines
 
 

@@ -166,23 +166,70 @@ def breadcrumb_schema(spark, sf_dir):
     return audit.breadcrumb_schema(table(spark, sf_dir, "pages"))
 
 
-@query()
+_SQL_TAG = "regexp_matches(tag, '^/?(ul|li|h1|p|div|article|nav|footer)$')"
+#: Blocks of pages that hold no other block tags than these, lists in one level, and no quoted ">" in tags.
+_SQL_BLOCKS = rf"""
+WITH tk AS (
+    SELECT doc_id, ts[pos] AS tok, pos, regexp_extract(lower(ts[pos]), '^<(/?[a-z][a-z0-9]*)', 1) AS tag
+    FROM (SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS pos FROM (
+        SELECT page_id AS doc_id, list_filter(regexp_extract_all(
+            regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<![a-z][^>]*>', '', 'g'), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>', '', 'g'),
+            '(?is)</?[a-z][^>]*>|[^<]+'), lambda t: NOT regexp_matches(t, '(?i)^</?(html|head|body|meta)\b')) AS ts FROM pages))
+), st AS (
+    SELECT *, last_value(CASE WHEN {_SQL_TAG} THEN tag END IGNORE NULLS) OVER w AS cur, last_value(CASE WHEN {_SQL_TAG} THEN pos END IGNORE NULLS) OVER w AS cur_pos,
+           last_value(CASE WHEN tag = 'ul' THEN pos END IGNORE NULLS) OVER w AS ul, sum(CASE tag WHEN 'b' THEN 1 WHEN '/b' THEN -1 ELSE 0 END) OVER w AS run_b,
+           lag(tag) OVER w AS was, lead(tag) OVER w AS will
+    FROM tk WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), ru AS (
+    SELECT doc_id, pos, CASE WHEN cur IN ('h1', 'p', 'li') THEN cur ELSE 'p' END AS kind, CASE WHEN cur IN ('h1', 'p', 'li') THEN cur_pos ELSE pos END AS block, ul,
+           cur = 'h1' OR run_b > least(low_b, 0) AS bold,
+           CASE WHEN tag = 'br' THEN chr(10) ELSE regexp_replace(replace(replace(replace(replace(replace(replace(tok, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '{WS}+', ' ', 'g') END AS t
+    FROM (SELECT *, min(run_b) OVER (PARTITION BY doc_id ORDER BY pos) AS low_b FROM st)
+    WHERE (tag = '' OR tag = 'br') AND (cur IN ('h1', 'p', 'li') OR (tag = '' AND was <> '' AND was NOT LIKE '/%' AND was <> 'br' AND will LIKE '/%'))
+), bl AS (
+    SELECT doc_id, block, kind, min(ul) AS ul, list({{'t': t, 'b': bold}} ORDER BY pos) AS rs FROM ru GROUP BY doc_id, block, kind
+), tr AS (
+    SELECT doc_id, block, kind, ul, list_filter(list_transform(rs, lambda r, i: {{'t': CASE WHEN i = 1 AND i = len(rs) THEN trim(r.t, ' ' || chr(10)) WHEN i = 1 THEN ltrim(r.t, ' ' || chr(10))
+           WHEN i = len(rs) THEN rtrim(r.t, ' ' || chr(10)) ELSE r.t END, 'b': r.b}}), lambda r: r.t <> '') AS rs FROM bl
+), nb AS (
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS ord, kind, rs, array_to_string(list_transform(rs, lambda r: r.t), '') AS shown,
+           CASE WHEN kind = 'li' THEN row_number() OVER (PARTITION BY doc_id, ul, kind ORDER BY block) END AS idx, lag(kind) OVER d AS was, lead(kind) OVER d AS will
+    FROM tr WHERE len(rs) > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY block)
+)
+"""
+_SQL_ESCAPED = "replace(replace(replace(replace(r.t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(_SQL_BLOCKS + """
+SELECT doc_id, ord, CASE kind WHEN 'h1' THEN 'h' ELSE kind END AS type, CASE kind WHEN 'h1' THEN 1 END AS level, CASE kind WHEN 'li' THEN false END AS ordered, idx,
+       CASE kind WHEN 'li' THEN 0 END AS depth, shown, len(rs) AS n_runs FROM nb
+""")
 def html_blocks(spark, sf_dir):
     b = blocks.html_blocks(table(spark, sf_dir, "pages"))
     return b.select("doc_id", "ord", "type", "level", "ordered", "idx", "depth", blocks.runs_text(F.col("runs")).alias("shown"), F.size("runs").alias("n_runs"))
 
 
-@query()
+@query(_SQL_BLOCKS + """
+SELECT doc_id, string_agg(CASE kind WHEN 'h1' THEN '# ' || shown ELSE CASE kind WHEN 'li' THEN '- ' ELSE '' END || array_to_string(list_transform(rs, lambda r:
+       CASE WHEN r.b AND trim(r.t, ' ' || chr(10)) <> '' THEN '**' || replace(r.t, chr(10), '  ' || chr(10)) || '**' ELSE replace(r.t, chr(10), '  ' || chr(10)) END), '') END,
+       chr(10) || chr(10) ORDER BY ord) || chr(10) AS content
+FROM nb GROUP BY doc_id
+""")
 def html_to_markdown(spark, sf_dir):
     return blocks.render_markdown(blocks.html_blocks(table(spark, sf_dir, "pages")))
 
 
-@query()
+@query(_SQL_BLOCKS + "SELECT doc_id, string_agg(CASE kind WHEN 'li' THEN '• ' ELSE '' END || shown, chr(10) || chr(10) ORDER BY ord) || chr(10) AS content FROM nb GROUP BY doc_id")
 def html_to_text(spark, sf_dir):
     return blocks.render_text(blocks.html_blocks(table(spark, sf_dir, "pages")))
 
 
-@query()
+@query(_SQL_BLOCKS + rf"""
+SELECT doc_id, string_agg(CASE WHEN kind = 'li' AND was IS DISTINCT FROM 'li' THEN '<ul>' || chr(10) ELSE '' END || '<' || kind || '>' || array_to_string(list_transform(rs, lambda r:
+       CASE WHEN r.b THEN '<strong>' || replace({_SQL_ESCAPED}, chr(10), '<br>') || '</strong>' ELSE replace({_SQL_ESCAPED}, chr(10), '<br>') END), '') || '</' || kind || '>'
+       || CASE WHEN kind = 'li' AND will IS DISTINCT FROM 'li' THEN chr(10) || '</ul>' ELSE '' END, chr(10) ORDER BY ord) AS content
+FROM nb GROUP BY doc_id
+""")
 def html_to_html(spark, sf_dir):
     return blocks.render_html(blocks.html_blocks(table(spark, sf_dir, "pages")))
 

