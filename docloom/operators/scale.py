@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Order values that share one window; a key's rows are split into stretches of so many.
@@ -29,3 +32,14 @@ def rejoined(rows: DataFrame, facts: DataFrame, key: str, spread: str) -> DataFr
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that driver and executors share; one is set only where none is and Spark runs on one machine."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="docloom-checkpoints-"))
+    return df.checkpoint()

@@ -585,9 +585,32 @@ def palette_means(spark, sf_dir):
     return pixels.palette(hist.withColumn("box", F.floor(F.col("color") / 4096).cast("int")))
 
 
-@query()
+_SQL_CUT = f"""
+WITH RECURSIVE s AS (
+    SELECT 1 AS boxes, image_id, '' AS box, color::BIGINT AS pos, color, n FROM ({_SQL_HIST})
+    UNION ALL
+    SELECT boxes + 1, image_id, box || CASE WHEN NOT chosen THEN '' WHEN r > least(cut, n_colors - 1) THEN '1' ELSE '0' END, CASE WHEN chosen THEN r ELSE pos END, color, n
+    FROM (SELECT *, sum((low * 2 < pop)::INT) OVER (PARTITION BY image_id, box) AS cut FROM (
+        SELECT *, row_number() OVER (PARTITION BY image_id, box ORDER BY v, pos) AS r,
+               coalesce(sum(n) OVER (PARTITION BY image_id, box ORDER BY v, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low
+        FROM (SELECT *, score > 0 AND box = first_value(box) OVER (PARTITION BY image_id ORDER BY score DESC, box) AS chosen,
+                     CASE WHEN r_span >= g_span AND r_span >= b_span THEN color >> 10 WHEN g_span >= b_span THEN (color >> 5) & 31 ELSE color & 31 END AS v
+              FROM (SELECT *, greatest(r_span, g_span, b_span) * sqrt(pop) AS score FROM (
+                  SELECT *, max(color >> 10) OVER b - min(color >> 10) OVER b AS r_span, max((color >> 5) & 31) OVER b - min((color >> 5) & 31) OVER b AS g_span,
+                         max(color & 31) OVER b - min(color & 31) OVER b AS b_span, sum(n) OVER b AS pop, count(*) OVER b AS n_colors
+                  FROM s WHERE boxes < 15 WINDOW b AS (PARTITION BY image_id, box))))))
+)
+"""
+
+
+@query(_SQL_CUT + f"""
+SELECT image_id, dense_rank() OVER (PARTITION BY image_id ORDER BY box) AS idx, r, g, b, n FROM (
+    SELECT image_id, box, {', '.join(f'CAST(floor(sum({c} * n) / sum(n) + 0.5) AS INT) AS {c}' for c in 'rgb')}, CAST(sum(n) AS BIGINT) AS n
+    FROM (SELECT *, {_SQL_RGB} FROM s WHERE boxes = 15) GROUP BY image_id, box)
+""")
 def median_cut_palette(spark, sf_dir):
-    return pixels.palette(pixels.boxes(pixels.histogram(_pixels(spark, sf_dir)), 4))
+    """Sixteen colours an image, the first of them for its transparent pixels."""
+    return pixels.median_cut(_pixels(spark, sf_dir), 16)
 
 
 _SQL_ENTRIES = "SELECT p_partkey AS idx, p_size * 5 AS pr, p_partkey * 29 % 256 AS pg, p_partkey * 53 % 256 AS pb FROM part WHERE p_partkey <= 64"

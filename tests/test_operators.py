@@ -218,7 +218,8 @@ def test_pixels(spark, probe):
     assert p.count() == 1200 and p.where("r = 255 AND b = 0 AND a = 255").count() == 400
     hist = pixels.histogram(p)
     assert rows_of(hist) == [("probe", 31, 400), ("probe", 31 << 10, 400)]
-    assert {(r["r"], r["g"], r["b"], r["n"]) for r in pixels.palette(pixels.boxes(hist, 1)).collect()} == {(255, 0, 0, 400), (0, 0, 255, 400)}
+    two = hist.select("image_id").distinct().withColumn("limit", F.lit(2))
+    assert {(r["r"], r["g"], r["b"], r["n"]) for r in pixels.palette(pixels.boxes(hist, two)).collect()} == {(255, 0, 0, 400), (0, 0, 255, 400)}
     entries = spark.createDataFrame([(0, 0, 0, 0), (1, 250, 0, 0), (2, 250, 0, 0), (3, 0, 0, 250)], "idx int, pr int, pg int, pb int")
     assert {(r["color"], r["idx"]) for r in pixels.nearest(hist, entries).collect()} == {(31 << 10, 1), (31, 3)}
 
