@@ -52,8 +52,13 @@ def table_blocks(files: DataFrame) -> DataFrame:
 def convert(files: DataFrame, target: str) -> DataFrame:
     """files (file_id, name, content) to file_id, out_name, mime, content, status, error, for txt, html, md and docx.
 
-    The gate comes before any parsing; a file without text ends in an error of its own.
+    The gate comes before any parsing; a file without text ends in an error of its own, and so does each file if nothing here
+    writes the target.
     """
+    if target not in ("txt", "html", "md", "docx"):
+        nothing = F.lit(None).cast("binary")
+        out_name = F.concat(T.stem(F.col("name"), "document"), F.lit(f".{target}"))
+        return files.select("file_id", out_name.alias("out_name"), F.lit(MIME.get(target)).alias("mime"), nothing.alias("content"), F.lit("error").alias("status"), F.lit(f"no writer for {target}").alias("error"))
     typed = files.withColumns({"kind": detect.document_kind(F.col("content"), F.col("name")), "target": F.lit(target)})
     gated = detect.gate(typed)
     body = source_blocks(gated.where("status = 'ready'"))

@@ -52,19 +52,25 @@ def requirement_check(images: DataFrame, spark) -> DataFrame:
 def unique_names(files: DataFrame, batch: str, order: str, name: str) -> DataFrame:
     """Adds unique_name: within a batch, case ignored, later files of one name get " (k)" before the extension.
 
-    k runs from 2 over the numbers that no file of the batch bears already. Null and empty names count as "image".
+    k runs from 2 over the numbers that no file of the batch bears already: the free numbers below each taken one are counted,
+    and each file passes the taken ones that leave too few below them. Null and empty names count as "image".
     """
     given = F.when(F.coalesce(F.col(name), F.lit("")) == "", F.lit("image")).otherwise(F.col(name))
     base, ext = F.regexp_extract(given, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(given, r"^.+?(\.[^.]*)$", 1)
     numbered = r"^(.+) \((\d{1,9})\)(\.[^.]*)?$"
     borne = files.select(F.col(batch), F.lower(given).alias("g")).where(F.rlike("g", F.lit(numbered)))
     key = F.concat(F.regexp_extract("g", numbered, 1), F.regexp_extract("g", numbered, 3))
-    taken = borne.groupBy(batch, key.alias("given_key")).agg(F.collect_set(F.regexp_extract("g", numbered, 2).cast("int")).alias("taken"))
-    rows = before(files.withColumns({"given_key": F.lower(given), "base": base, "ext": ext}), [batch, "given_key"], order, F.lit(1), "nth")
-    rows = rows.withColumn("nth", (F.col("nth") + 1).cast("int")).join(taken, [batch, "given_key"], "left")
-    free = F.array_except(F.sequence(F.lit(2), F.col("nth") + F.size(F.coalesce("taken", F.array().cast("array<int>")))), F.coalesce("taken", F.array().cast("array<int>")))
-    k = F.element_at(free, F.col("nth") - 1).cast("string")
-    unique = F.when(F.col("nth") == 1, given).otherwise(F.concat("base", F.lit(" ("), k, F.lit(")"), "ext"))
+    keys = [batch, "given_key"]
+    number = F.regexp_extract("g", numbered, 2).cast("long")
+    taken = borne.select(batch, key.alias("given_key"), number.alias("number")).where("number > 1").distinct()
+    taken = before(taken, keys, "number", F.lit(1), "lower")
+    # number - 2 - lower numbers are free below a taken one: files that need more of them go past it
+    taken = taken.select(*keys, ((F.col("number") - 2 - F.col("lower")) * 2 + 1).alias("at"), F.lit(1).alias("one"))
+    rows = before(files.withColumns({"given_key": F.lower(given), "base": base, "ext": ext}), keys, order, F.lit(1), "earlier")
+    rows = rows.withColumns({"at": F.col("earlier") * 2, "one": F.lit(0)})
+    rows = before(rows.unionByName(taken, allowMissingColumns=True), keys, "at", F.col("one"), "passed").where("one = 0")
+    k = (F.col("earlier") + 1 + F.col("passed")).cast("string")
+    unique = F.when(F.col("earlier") == 0, given).otherwise(F.concat("base", F.lit(" ("), k, F.lit(")"), "ext"))
     return rows.withColumn("unique_name", unique).select(*files.columns, "unique_name")
 
 

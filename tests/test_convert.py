@@ -107,3 +107,10 @@ def test_svg_and_links(spark):
     faq = spark.createDataFrame([(1, 1, "q2", "a2"), (1, 0, "q<1", "a1")], "page_id long, ord int, q string, a string")
     assert audit.faq_schema(faq).first()["schema"].startswith('{"@type":"FAQPage","mainEntity":[{"@type":"Question","name":"q\\u003c1"')
     assert audit.robots("http://x/").endswith("Sitemap: http://x/sitemap.xml\n")
+
+
+def test_targets_without_a_writer_are_errors_of_their_own(spark):
+    files = spark.createDataFrame([(1, "a.json", b'[{"a": 1}]'), (2, "b.txt", b"x")], "file_id long, name string, content binary")
+    for target in ("csv", "json", "xlsx", "pdf"):
+        got = convert.convert(files, target).orderBy("file_id").collect()
+        assert [(r["file_id"], r["status"], r["error"], r["content"]) for r in got] == [(1, "error", f"no writer for {target}", None), (2, "error", f"no writer for {target}", None)]

@@ -273,6 +273,27 @@ def test_zip(spark):
     assert all(r["error"] for r in archive.unzip(bad).collect())
 
 
+def test_unique_names_of_many_files(spark):
+    """Numbers that are taken, in gaps and at the start, and one name on very many files."""
+    from pyspark.sql import functions as F
+
+    given = ["a.png"] * 4 + ["a (2).png", "A (4).PNG", "a (5).png", "a (9).png", "a (02).png", "a (0).png"] + ["a.png"] * 5 + ["b"] * 2 + [None, "", "image"]
+    rows = [(1, i, g) for i, g in enumerate(given)] + [(2, 0, "a.png"), (2, 1, "a.png")]
+    got = {(r["batch"], r["pos"]): r["unique_name"] for r in relations.unique_names(spark.createDataFrame(rows, "batch int, pos long, name string"), "batch", "pos", "name").collect()}
+    taken = {int(g.split("(")[1].split(")")[0]) for g in given if g and "(" in g}
+    free, seen = (k for k in range(2, 99) if k not in taken), 0
+    for i, g in enumerate(given):
+        if g == "a.png":
+            assert got[1, i] == ("a.png" if seen == 0 else f"a ({next(free)}).png")
+            seen += 1
+        elif g and "(" in g:
+            assert got[1, i] == g
+    assert [got[1, i] for i in range(15, 20)] == ["b", "b (2)", "image", "image (2)", "image (3)"] and got[2, 1] == "a (2).png"
+    many = spark.range(300_000).select(F.lit(1).alias("batch"), F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("x ("), F.col("id").cast("string"), F.lit(")"))).otherwise("x").alias("name"))
+    out = relations.unique_names(many, "batch", "pos", "name")
+    assert out.select("unique_name").distinct().count() == 300_000
+
+
 def test_office_round_trip(spark):
     pages = spark.createDataFrame([(1, HTML)], "page_id long, html string")
     docx = archive.write_docx(blocks.html_blocks(pages).where("type <> 'img'"))
