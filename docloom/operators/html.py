@@ -47,10 +47,8 @@ def decoded(text: Column) -> Column:
         return F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), char)
 
     text = F.when(F.contains(text, F.lit("&#")), F.aggregate(numbers, text, one)).otherwise(text)
-    out = text
-    for name, char in (*ENTITIES.items(), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+    named = F.array(*(F.struct(F.lit(f"&{name};").alias("name"), F.lit(char).alias("char")) for name, char in (*ENTITIES.items(), ("amp", "&"))))
+    return F.when(F.contains(text, F.lit("&")), F.aggregate(named, text, lambda t, e: F.replace(t, e["name"], e["char"]))).otherwise(text)
 
 
 def bare(html: Column) -> Column:
@@ -80,7 +78,8 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     """Block rows of pages: doc_id, ord and the columns of blocks.BLOCK."""
     from .blocks import paragraphs_of, trim_runs
 
-    w = Window.partitionBy("doc_id").orderBy("pos")
+    by_page = Window.partitionBy("doc_id").orderBy("pos")
+    w = by_page.rowsBetween(Window.unboundedPreceding, 0)
     name, closes, pos = F.col("name"), F.col("closes"), F.col("pos")
     opens = (name != "") & ~closes
     t = _opened(tokens(pages, id_col, html_col), w, deep=name.isin(*DEEP), lists=name.isin(*LISTS), tables=name == "table")
@@ -89,7 +88,7 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     t = t.withColumns({
         "top": last(begins, pos, w), "kind": last(begins, name, w),  # the outermost that is open, or was
         "block": last(name.isin(*BLOCKS), pos, w), "brief": last(name.isin(*BLOCKS), name.isin(*BRIEF) & ~closes, w),
-        "whole": F.lag(opens & ~name.isin(*VOID, "pre")).over(w) & F.lead(closes).over(w),  # all that its element holds
+        "whole": F.lag(opens & ~name.isin(*VOID, "pre")).over(by_page) & F.lead(closes).over(by_page),  # all that its element holds
     })
     in_deep, in_brief = F.col("deep") > 0, (F.col("deep") == 0) & F.coalesce("brief", F.lit(False))
     in_list, in_table = in_deep & F.col("kind").isin(*LISTS), in_deep & (F.col("kind") == "table")
@@ -100,7 +99,7 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     is_text, shown = name == "", (name == "") | (name == "br") | ((name == "pre") & ~closes)
     level = F.when(F.col("kind").isin(*LISTS), F.col("lists")).otherwise(F.col("tables"))
     levels = F.when(in_table & shown & (F.col("tables") > 1), F.sequence(F.lit(1).cast("long"), F.col("tables"))).otherwise(F.array(level))
-    v = Window.partitionBy("doc_id", "top", "level").orderBy("pos")
+    v = Window.partitionBy("doc_id", "top", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     starts = opens & F.when(F.col("kind").isin(*LISTS), name.isin(*LISTS)).otherwise(name == "table")
     item = F.when(name == "li", F.when(closes, -1).otherwise(pos)).when(starts, -1)
     cell = F.when(name.isin(*CELLS), F.when(closes, -1).otherwise(pos)).when((name == "tr") | starts, -1)
