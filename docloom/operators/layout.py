@@ -30,6 +30,8 @@ BOLD = (
 BEYOND, FULL = (556, 611), 1000
 FULL_WIDTH = ((0x1100, 0x115F), (0x2E80, 0xA4CF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFF60))
 LINES = ArrayType(StringType())
+#: Characters whose widths run up at once, about; a text is not cut.
+CHUNK = 1 << 20
 #: Points.
 PAGES = {"a4": (595.28, 841.89), "letter": (612.0, 792.0)}
 MARGIN, INDENT, MARK, PAD = 56.0, 18.0, 14.0, 4.0
@@ -39,7 +41,7 @@ HEADINGS = (1.9, 1.5, 1.25, 1.1, 1.0, 1.0)
 
 def advances(points: np.ndarray, bold: np.ndarray) -> np.ndarray:
     """Widths of code points in thousandths of an em; none for line feeds."""
-    table = np.zeros((2, 128), np.int64)
+    table = np.zeros((2, 128), np.int32)
     table[:, 32:127] = PLAIN, BOLD
     out = table[bold.astype(np.int8), np.minimum(points, 127)]
     beyond = np.flatnonzero(points > 126)
@@ -63,7 +65,7 @@ def lines_of(pieces: list[str], bold: np.ndarray, n_pieces: np.ndarray, limits:
     points[(points < 32) & (points != 10) | (points == 127) | (points >= 0xD800) & (points < 0xF900) | (points > 0xFFFF)] = ord("?")
     ends = np.cumsum(lengths)[last]  # a line feed is put behind each text
     points = np.insert(points, ends, 10)
-    width = np.concatenate(([0], np.cumsum(advances(points, np.insert(np.repeat(bold, lengths), ends, False)))))
+    width = np.concatenate(([0], np.cumsum(advances(points, np.insert(np.repeat(bold, lengths), ends, False)), dtype=np.int64)))
     text = points.astype("<u4").tobytes().decode("utf-32-le")
     feed = points == 10
     inside = np.concatenate(([False], ~feed & (points != 32), [False]))
@@ -99,13 +101,28 @@ def lines_of(pieces: list[str], bold: np.ndarray, n_pieces: np.ndarray, limits:
     return out, counts
 
 
+def _lines(pieces: list[str], bold: np.ndarray, n_pieces: np.ndarray, limits: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """lines_of, some texts at a time."""
+    to = np.cumsum(n_pieces)
+    before = np.concatenate(([0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))))[to - n_pieces]
+    cuts = [0, *(np.flatnonzero(np.diff(before // CHUNK)) + 1).tolist(), len(to)]
+    lines, counts = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            part = slice(int(to[a] - n_pieces[a]), int(to[b - 1]))
+            found, n = lines_of(pieces[part], bold[part], n_pieces[a:b], limits[a:b])
+            lines += found
+            counts.append(n)
+    return lines, np.concatenate([np.empty(0, np.int64), *counts])
+
+
 @F.arrow_udf(LINES)
 def _wrap(pieces, bold, limit):
     import pyarrow as pa
 
     n = np.diff(pieces.offsets.to_numpy())
     styles = bold.flatten().fill_null(False).to_numpy(zero_copy_only=False)
-    lines, counts = lines_of([x or "" for x in pieces.flatten().to_pylist()], styles, n, limit.to_numpy())
+    lines, counts = _lines([x or "" for x in pieces.flatten().to_pylist()], styles, n, limit.to_numpy())
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(lines, pa.string()))
 
 
@@ -116,7 +133,7 @@ def _wrap_each(cells, bold, limit):
     n = np.diff(cells.offsets.to_numpy())
     styles = bold.flatten().fill_null(False).to_numpy(zero_copy_only=False)
     texts = [x or "" for x in cells.flatten().to_pylist()]
-    lines, counts = lines_of(texts, styles, np.ones(len(texts), np.int64), np.repeat(limit.to_numpy(), n))
+    lines, counts = _lines(texts, styles, np.ones(len(texts), np.int64), np.repeat(limit.to_numpy(), n))
     inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(lines, pa.string()))
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), inner)
 

@@ -63,6 +63,20 @@ def random_text(rng, n):
     return "".join(rng.choice(["i", "W", "a", "é", "中", " ", " ", "  ", "\n", "word ", "mmmm", "\t", "", "😀"]) for _ in range(n))
 
 
+def test_texts_in_chunks(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = [random_text(rng, rng.randrange(40)) for _ in range(200)]
+    args = np.zeros(200, bool), np.ones(200, np.int64), np.full(200, 2500)
+    whole = layout.lines_of(texts, *args)
+    monkeypatch.setattr(layout, "CHUNK", 50)
+    parts = layout._lines(texts, *args)
+    assert whole[0] == parts[0] and whole[1].tolist() == parts[1].tolist()
+    none = np.empty(0, np.int64)
+    assert layout._lines([], np.empty(0, bool), none, none)[0] == []
+
+
 def test_wrap(spark):
     ship(spark)
     rng = random.Random(1)
