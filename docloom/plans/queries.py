@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dimensions as D
 from ..functions import text as T
-from ..operators import archive, audit, blocks, cells, convert, detect, images, layout, markdown, pixels, relations
+from ..operators import archive, audit, blocks, cells, convert, detect, images, layout, markdown, pixels, relations, resample
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -719,13 +719,51 @@ def image_roundtrip(spark, sf_dir):
     return out
 
 
-@query()
+def _sql_scaled(to_w: str, to_h: str) -> str:
+    """Pixels (doc_id, tw, th, y, x, r, g, b, a) of the images of _images at another size."""
+    bits = ", ".join(f"(p >> {s}) & 255 AS {c}" for c, s in zip("rgba", (24, 16, 8, 0)))
+    sums = ", ".join(f"CAST(sum(wy * wx * a * {c}) AS BIGINT) AS s{c}" for c in "rgb")
+    return f"""
+SELECT doc_id, tw, th, y, x, {', '.join(f'CASE WHEN sa = 0 THEN 0 ELSE (2 * s{c} + sa) // (2 * sa) END AS {c}' for c in 'rgb')}, (2 * sa + w * h) // (2 * w * h) AS a FROM (
+    SELECT doc_id, tw, th, w, h, ty AS y, tx AS x, {sums}, CAST(sum(wy * wx * a) AS BIGINT) AS sa
+    FROM (SELECT *, least((y + 1) * th, (ty + 1) * h) - greatest(y * th, ty * h) AS wy, least((x + 1) * tw, (tx + 1) * w) - greatest(x * tw, tx * w) AS wx
+          FROM (SELECT *, unnest(range(x * tw // w, ((x + 1) * tw - 1) // w + 1)) AS tx
+                FROM (SELECT *, unnest(range(y * th // h, ((y + 1) * th - 1) // h + 1)) AS ty
+                      FROM (SELECT doc_id, w, h, tw, th, (i - 1) // w AS y, (i - 1) % w AS x, {bits}
+                            FROM (SELECT *, CAST('0x' || ps[i] AS BIGINT) AS p FROM (SELECT *, unnest(range(1, w * h + 1)) AS i
+                                  FROM (SELECT *, {to_w} AS tw, {to_h} AS th FROM (SELECT doc_id, 8::BIGINT AS w, CAST(strlen(text) // 32 AS BIGINT) AS h,
+                                        regexp_extract_all(hex(encode(text)), '.{{8}}') AS ps FROM documents WHERE strlen(text) >= 32))))))))
+    GROUP BY doc_id, tw, th, w, h, ty, tx)
+"""
+
+
+_SQL_FIT = ("greatest(1, CAST(floor(8 * least(4 / 8, 16 / h) + 0.5) AS BIGINT))", "greatest(1, CAST(floor(h * least(4 / 8, 16 / h) + 0.5) AS BIGINT))")
+
+
+@query(f"""
+SELECT doc_id, CAST(tw AS INT) AS width, CAST(th AS INT) AS height,
+       sha1(unhex(hex('P6' || chr(10) || tw || ' ' || th || chr(10) || '255' || chr(10)) || string_agg({' || '.join(f"printf('%02X', (2 * (a * {c} + (255 - a) * 255) + 255) // 510)" for c in 'rgb')}, '' ORDER BY y, x))) AS print
+FROM ({_sql_scaled(*_SQL_FIT)}) GROUP BY doc_id, tw, th
+""")
 def image_thumbnails(spark, sf_dir):
     """Images fitted into 4 x 16 pixels and written as PPM: size and fingerprint."""
-    source = _images(spark, sf_dir)
     size = T.fitted_size(F.col("width"), F.col("height"), F.lit("fit"), F.lit(4), F.lit(16), F.lit(100))
-    small = images.transform(source, size["width"], size["height"])
-    return images.encode(small, "ppm").select("doc_id", "width", "height", "status", F.sha1("content").alias("print"))
+    small = resample.scaled(resample.pixel_rows(_images(spark, sf_dir), "doc_id"), size["width"], size["height"])
+    return resample.ppm(small).select(F.col("image_id").alias("doc_id"), "width", "height", F.sha1("content").alias("print"))
+
+
+_SQL_WITHIN = ("CASE WHEN h <= 8 THEN 6 ELSE greatest(1, (2 * 8 * 6 + h) // (2 * h)) END", "CASE WHEN h <= 8 THEN greatest(1, (2 * h * 6 + 8) // 16) ELSE 6 END")
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, y + (6 - th) // 2 AS y, x + (6 - tw) // 2 AS x, r, g, b, a FROM ({_sql_scaled(*_SQL_WITHIN)}))
+SELECT i.doc_id, CAST(k % 6 AS INT) AS y, CAST(k // 6 AS INT) AS x, {', '.join(f'CAST(coalesce(s.{c}, 0) AS INT) AS {c}' for c in 'rgba')}
+FROM (SELECT doc_id, unnest(range(36)) AS k FROM documents WHERE strlen(text) >= 32) i LEFT JOIN s ON s.doc_id = i.doc_id AND s.y = 5 - k // 6 AND s.x = k % 6
+""")
+def image_squares(spark, sf_dir):
+    """Images in the middle of transparent squares of six pixels, turned clockwise by a quarter."""
+    square = resample.fitted(resample.pixel_rows(_images(spark, sf_dir), "doc_id"), 6, 6)
+    return resample.turned(square, 1).select(F.col("image_id").alias("doc_id"), "y", "x", *"rgba")
 
 
 @query("""
