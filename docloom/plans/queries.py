@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import dimensions as D
 from ..functions import text as T
-from ..operators import archive, audit, blocks, cells, convert, detect, images, layout, markdown, pixels, relations, resample
+from ..operators import archive, audit, blocks, cells, checksums, convert, detect, images, layout, markdown, pixels, relations, resample
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -326,11 +326,58 @@ def content_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("print"))
 
 
-@query()
+_SQL_CRC_TABLE = "(SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS n)))"
+
+
+def _sql_crc(blob: str, table: str = "t") -> str:
+    """CRC-32 of bytes, one after the other."""
+    octets = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query(f"SELECT doc_id, {_sql_crc('encode(text)')} AS crc32 FROM documents, {_SQL_CRC_TABLE}")
 def crc32_of_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
 
 
+@query(f"""
+SELECT source, n_parts, CAST(strlen(whole) AS BIGINT) AS n_bytes, {_sql_crc('encode(whole)')} AS crc32
+FROM (SELECT source, count(*) AS n_parts, string_agg(text, '' ORDER BY doc_id) AS whole FROM documents GROUP BY source), {_SQL_CRC_TABLE}
+""")
+def crc32_of_sources(spark, sf_dir):
+    """Documents as the parts of one file a source: its checksum, without putting it together."""
+    return checksums.crc32_combined(table(spark, sf_dir, "documents"), ["source"], "doc_id", "text")
+
+
+def _sql_little(n: str, n_bytes: int) -> str:
+    digits = f"right(printf('%016X', CAST({n} AS BIGINT)), {2 * n_bytes})"
+    return "(" + " || ".join(f"substr({digits}, {2 * k + 1}, 2)" for k in range(n_bytes - 1, -1, -1)) + ")"
+
+
+_ZIP_MOST = 1 << 17
+_SQL_ZIP_COMMON = " || ".join(("'0008'", "'00000000'", "'2128'", _sql_little("crc", 4), _sql_little("n", 4), _sql_little("n", 4), _sql_little("strlen(name)", 2), "'0000'"))
+
+
+@query(f"""
+WITH f AS (SELECT source, doc_id, 'd' || doc_id || '.txt' AS name, text, CAST(strlen(text) AS BIGINT) AS n, {_sql_crc('encode(text)')} AS crc FROM documents, {_SQL_CRC_TABLE}),
+c AS (SELECT *, n + 2 * strlen(name) + 76 AS cost FROM f),
+v AS (SELECT *, coalesce(sum(cost) OVER w, 0) // {(_ZIP_MOST - 22) // 2} + 2 * coalesce(sum((cost > {(_ZIP_MOST - 22) // 2})::INT) OVER w, 0) + (cost > {(_ZIP_MOST - 22) // 2})::INT AS volume
+      FROM c WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT *, coalesce(sum(30 + strlen(name) + n) OVER (PARTITION BY source, volume ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM v),
+p AS (SELECT source, volume, doc_id, '504B0304' || '1400' || {_SQL_ZIP_COMMON} || hex(encode(name)) || hex(encode(text)) AS head,
+             '504B0102' || '1400' || '1400' || {_SQL_ZIP_COMMON} || repeat('00', 10) || {_sql_little('begins', 4)} || hex(encode(name)) AS entry FROM a),
+g AS (SELECT source, volume, count(*) AS n_files, string_agg(head, '' ORDER BY doc_id) AS heads, string_agg(entry, '' ORDER BY doc_id) AS entries FROM p GROUP BY source, volume)
+SELECT source, CAST(volume AS BIGINT) AS volume, n_files, CAST((length(heads) + length(entries)) // 2 + 22 AS BIGINT) AS n_bytes,
+       sha1(unhex(heads || entries || '504B0506' || '00000000' || {_sql_little('n_files', 2)} || {_sql_little('n_files', 2)} || {_sql_little('length(entries) // 2', 4)} || {_sql_little('length(heads) // 2', 4)} || '0000')) AS print
+FROM g
+""")
+def zip_volumes(spark, sf_dir):
+    """Documents of each source in archives of at most 128 KiB, and fingerprints of the archives."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "text")
+    packed = checksums.zip_volumes(d, ["source"], "doc_id", "name", "text", _ZIP_MOST)
+    return packed.select("source", "volume", "n_files", "n_bytes", F.sha1("content").alias("print"))
+
+
 _SQL_SIZE = """CASE WHEN b < 1024 THEN b || ' Б'
   WHEN b < 10240 THEN ((b * 20 + 1024) // 2048) // 10 || ',' || ((b * 20 + 1024) // 2048) % 10 || ' КБ'
   WHEN b < 1048576 THEN (b * 2 + 1024) // 2048 || ' КБ'
