@@ -10,39 +10,50 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Pixels that are cut from an image at once.
+PIECE = 4096
 COLUMNS = ["image_id", "width", "height", "y", "x", "r", "g", "b", "a"]
 
 
 def pixel_rows(images: DataFrame, id_col: str) -> DataFrame:
-    """images (width, height, rgba) as pixel rows, four bytes read as one number. Images without pixels have no rows."""
-    sized = images.where("width > 0 AND height > 0").select(F.col(id_col).alias("image_id"), "width", "height", "rgba")
-    at = sized.select("*", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
-    four = F.conv(F.hex(F.substring("rgba", F.col("i") * 4 + 1, F.lit(4))), 16, 10).cast("long")
-    n = at.select("image_id", "width", "height", F.expr("CAST(i div width AS INT)").alias("y"), F.expr("i % width").alias("x"), four.alias("four"))
+    """images (width, height, rgba) as pixel rows, four bytes read as one number. Images without pixels have no rows.
+
+    An image is cut into pieces and each of them into pixels, so that no row of a pixel or piece ever carries the whole.
+    """
+    size = F.col("width").cast("long") * F.col("height")
+    pieces = F.posexplode(F.regexp_extract_all(F.hex("rgba"), F.lit(f".{{1,{8 * PIECE}}}"), F.lit(0))).alias("piece", "digits")
+    cut = images.where((F.col("width") > 0) & (F.col("height") > 0)).select(F.col(id_col).alias("image_id"), "width", "height", size.alias("size"), pieces)
+    each = F.posexplode(F.regexp_extract_all("digits", F.lit(".{8}"), F.lit(0))).alias("pos", "four")
+    at = cut.select("image_id", "width", "height", "size", "piece", each).withColumn("i", F.col("piece").cast("long") * PIECE + F.col("pos")).where("i < size")
+    n = at.select("image_id", "width", "height", F.expr("CAST(i div width AS INT)").alias("y"), F.expr("CAST(i % width AS INT)").alias("x"), F.conv("four", 16, 10).cast("long").alias("four"))
     return n.select(*COLUMNS[:5], *(F.shiftright("four", s).bitwiseAND(F.lit(255)).cast("int").alias(c) for c, s in zip("rgba", (24, 16, 8, 0))))
 
 
 def covered(at: Column, n_source: Column, n_target: Column) -> Column:
-    """An array of (t, w): the targets that a source position covers along one axis, and by how many parts.
+    """An array of the targets that a source position covers along one axis."""
+    first = F.floor(at.cast("long") * n_target / n_source).cast("int")
+    last = F.floor(((at.cast("long") + 1) * n_target - 1) / n_source).cast("int")
+    return F.sequence(first, last)
+
+
+def share(at: Column, target: Column, n_source: Column, n_target: Column) -> Column:
+    """The parts of a target that a source position covers.
 
     The axis has n_source * n_target parts, n_target a source position and n_source a target.
     """
-    at, s, n = at.cast("long"), n_source.cast("long"), n_target.cast("long")
-    first = F.floor(at * n / s).cast("long")
-    last = F.floor(((at + 1) * n - 1) / s).cast("long")
-    weight = lambda t: F.least((at + 1) * n, (t + 1) * s) - F.greatest(at * n, t * s)
-    return F.transform(F.sequence(first, last), lambda t: F.struct(t.cast("int").alias("t"), weight(t).alias("w")))
+    at, target = at.cast("long"), target.cast("long")
+    return F.least((at + 1) * n_target, (target + 1) * n_source) - F.greatest(at * n_target, target * n_source)
 
 
 def scaled(pixels: DataFrame, to_width: Column, to_height: Column) -> DataFrame:
     """Pixel rows of the images at another size of at least one pixel a side; wholly transparent targets are black."""
     sized = pixels.withColumns({"to_w": F.greatest(to_width.cast("int"), F.lit(1)), "to_h": F.greatest(to_height.cast("int"), F.lit(1))})
-    down = sized.withColumn("v", F.explode(covered(F.col("y"), F.col("height"), F.col("to_h"))))
-    both = down.withColumn("h", F.explode(covered(F.col("x"), F.col("width"), F.col("to_w"))))
-    share = F.col("v.w") * F.col("h.w") * F.col("a")
-    keys = [F.col("to_w").alias("width"), F.col("to_h").alias("height"), F.col("v.t").alias("y"), F.col("h.t").alias("x")]
+    down = sized.withColumn("to_y", F.explode(covered(F.col("y"), F.col("height"), F.col("to_h"))))
+    both = down.withColumn("to_x", F.explode(covered(F.col("x"), F.col("width"), F.col("to_w"))))
+    weight = share(F.col("y"), F.col("to_y"), F.col("height"), F.col("to_h")) * share(F.col("x"), F.col("to_x"), F.col("width"), F.col("to_w")) * F.col("a")
+    keys = [F.col("to_w").alias("width"), F.col("to_h").alias("height"), F.col("to_y").alias("y"), F.col("to_x").alias("x")]
     parts = (F.first("width").cast("long") * F.first("height")).alias("parts")
-    sums = both.groupBy("image_id", *keys).agg(F.sum(share).alias("sa"), *(F.sum(share * F.col(c)).alias(f"s{c}") for c in "rgb"), parts)
+    sums = both.groupBy("image_id", *keys).agg(F.sum(weight).alias("sa"), *(F.sum(weight * F.col(c)).alias(f"s{c}") for c in "rgb"), parts)
     colours = [F.expr(f"CAST(coalesce((2 * s{c} + sa) div nullif(2 * sa, 0), 0) AS INT)") for c in "rgb"]
     return sums.select(*COLUMNS[:5], *(k.alias(c) for k, c in zip(colours, "rgb")), F.expr("CAST((2 * sa + parts) div (2 * parts) AS INT)").alias("a"))
 
