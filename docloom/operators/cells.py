@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .scale import before
 
 
 def delimiter(first_line: Column) -> Column:
@@ -18,18 +19,60 @@ def read_csv(spark, path: str, sep: str) -> DataFrame:
     return spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
 
 
+def csv_records(lines: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Lines (by, a whole-number order, line) to records: by, the order of the first line, n_lines, record.
+
+    A line feed within quotes belongs to a value. A line begins a record if an even number of quotes stands before it in its
+    file; so quotes and then beginnings are counted up, by stretches, and lines of a record meet under its number. No task reads a
+    whole file. Quotes are to stand in quoted values only, doubled if they are part of one; a record that is open at
+    the end is closed there. Null lines count as empty, a carriage return at a record's end is dropped.
+    """
+    line = F.coalesce("line", F.lit(""))
+    rows = lines.select(*by, order, line.alias("line"), (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))).alias("_quotes"))
+    rows = before(rows, by, order, F.col("_quotes"), "_open")
+    rows = rows.withColumn("_begins", (F.col("_open") % 2 == 0).cast("long")).drop("_quotes", "_open")
+    rows = before(rows, by, order, F.col("_begins"), "_record").withColumn("_record", F.col("_record") + F.col("_begins"))
+    inside = F.array_sort(F.collect_list(F.struct(order, "line")))
+    whole = F.regexp_replace(F.array_join(F.transform(inside, lambda x: x["line"]), "\n"), r"\r\z", "")
+    return rows.groupBy(*by, "_record").agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_lines"), whole.alias("record")).drop("_record")
+
+
+def csv_values(record: Column, sep: Column | str) -> Column:
+    """The values of a record. Separators within quotes part nothing; a mark that no text can hold stands for the others meanwhile."""
+    sep = F.lit(sep) if isinstance(sep, str) else sep
+    safe = F.replace(record, F.lit("\x01"), F.lit("\x01\x02"))
+    pieces = F.transform(F.split(safe, '"'), lambda x, i: F.when(i % 2 == 0, F.replace(x, sep, F.lit("\x01\x03"))).otherwise(x))
+    raw = F.split(F.array_join(pieces, '"'), "\x01\x03")
+
+    def value(c: Column) -> Column:
+        bare = F.when(F.startswith(c, F.lit('"')), F.replace(F.regexp_replace(c, r'^"|"\z', ""), F.lit('""'), F.lit('"'))).otherwise(c)
+        return F.replace(bare, F.lit("\x01\x02"), F.lit("\x01"))
+
+    return F.transform(raw, value)
+
+
 def csv_cells(files: DataFrame) -> DataFrame:
-    """Files (file_id, text) to cell rows (file_id, row_ord, cells) by their own delimiter; one line is one row."""
-    bare = F.regexp_replace(F.regexp_replace("text", "^﻿", ""), r"\r\n?", "\n")
+    """Files (file_id, text) to cell rows (file_id, row_ord, cells) by their own delimiter; row_ord is that of a row's first line."""
+    bare = F.regexp_replace(F.regexp_replace("text", "^\ufeff", ""), r"\r\n?", "\n")
     lines = files.select("file_id", delimiter(F.element_at(F.split(bare, "\n"), 1)).alias("sep"), F.posexplode(F.split(bare, "\n")).alias("row_ord", "line"))
-    quoted = r'(?:^|(?<=[{0}]))(?:"((?:[^"]|"")*)"|([^{0}]*))(?=[{0}]|$)'
+    return csv_records(lines, ["file_id", "sep"], "row_ord").where("record <> ''").select("file_id", "row_ord", csv_values(F.col("record"), F.col("sep")).alias("cells"))
+
+
+def read_csv_lines(spark, path: str) -> DataFrame:
+    """path, at, line of text files, cut anywhere into splits: at rises from line to line of a file.
+
+    A line is one byte long at least, so the start of its split and its number there order all lines of a file.
+    """
+    raw = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    first = F.min("id").over(Window.partitionBy("path", "start"))
+    at = F.col("start") + F.col("id") - first
+    return raw.select("path", at.alias("at"), F.when(at == 0, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")).alias("line"))
 
-    def parts(sep: str) -> Column:
-        raw = F.regexp_extract_all("line", F.lit(quoted.format(sep)), F.lit(0))
-        return F.transform(raw, lambda c: F.when(F.rlike(c, F.lit('^".*"$')), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
 
-    by_sep = F.when(F.col("sep") == ";", parts(";")).when(F.col("sep") == "\t", parts("\t")).otherwise(parts(","))
-    return lines.where("line <> ''").select("file_id", "row_ord", by_sep.alias("cells"))
+def read_csv_records(spark, path: str, sep: str) -> DataFrame:
+    """path, at, cells of CSV files of any size, whose values may hold line breaks: every split is read by a task of its own."""
+    records = csv_records(read_csv_lines(spark, path), ["path"], "at").where("record <> ''")
+    return records.select("path", "at", csv_values(F.col("record"), sep).alias("cells"))
 
 
 def csv_line(values: list[Column], sep: str = ";") -> Column:

@@ -451,6 +451,17 @@ def csv_lines(spark, sf_dir):
     return c.select("c_custkey", cells.csv_line([F.col("c_custkey"), name, F.col("c_nationkey"), F.concat("c_mktsegment", F.lit(",x"))]).alias("line"))
 
 
+@query("SELECT source, doc_id, CAST(3 AS INT) AS n_cells, len(string_split(text, chr(10))) AS n_lines, sha1(text) AS print FROM documents")
+def csv_records(spark, sf_dir):
+    """Documents as lines of one CSV file a source, and the records found in them again."""
+    d = table(spark, sf_dir, "documents")
+    line = cells.csv_line([F.col("doc_id"), F.lit('a;"b"'), F.col("text")])
+    lines = d.select(F.col("source"), "doc_id", F.posexplode(F.split(line, "\n")).alias("k", "line"))
+    found = cells.csv_records(lines.select("source", (F.col("doc_id") * (1 << 30) + F.col("k")).alias("at"), "line"), ["source"], "at")
+    c = found.withColumn("cells", cells.csv_values(F.col("record"), ";"))
+    return c.select("source", F.get("cells", F.lit(0)).cast("long").alias("doc_id"), F.size("cells").alias("n_cells"), "n_lines", F.sha1(F.get("cells", F.lit(2))).alias("print"))
+
+
 @query("""
 SELECT p_partkey, '{"key": "' || p_partkey || '", "name": "' || replace(p_name, '"', '\\"') || '", "brand": "' || p_brand || '"}' AS row FROM part
 """)
