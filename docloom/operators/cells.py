@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from .scale import before
+from .scale import STRETCH, before
 
 
 def delimiter(first_line: Column) -> Column:
@@ -19,19 +19,19 @@ def read_csv(spark, path: str, sep: str) -> DataFrame:
     return spark.read.csv(path, sep=sep, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
 
 
-def csv_records(lines: DataFrame, by: list[str], order: str) -> DataFrame:
+def csv_records(lines: DataFrame, by: list[str], order: str, stretch: int = STRETCH) -> DataFrame:
     """Lines (by, a whole-number order, line) to records: by, the order of the first line, n_lines, record.
 
     A line feed within quotes belongs to a value. A line begins a record if an even number of quotes stands before it in its
     file; so quotes and then beginnings are counted up, by stretches, and lines of a record meet under its number. No task reads a
     whole file. Quotes are to stand in quoted values only, doubled if they are part of one; a record that is open at
-    the end is closed there. Null lines count as empty, a carriage return at a record's end is dropped.
+    the end is closed there. ``stretch`` is the range of the order that one window takes; sparse orders need a wider one. Null lines count as empty, a carriage return at a record's end is dropped.
     """
     line = F.coalesce("line", F.lit(""))
     rows = lines.select(*by, order, line.alias("line"), (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))).alias("_quotes"))
-    rows = before(rows, by, order, F.col("_quotes"), "_open")
+    rows = before(rows, by, order, F.col("_quotes"), "_open", stretch)
     rows = rows.withColumn("_begins", (F.col("_open") % 2 == 0).cast("long")).drop("_quotes", "_open")
-    rows = before(rows, by, order, F.col("_begins"), "_record").withColumn("_record", F.col("_record") + F.col("_begins"))
+    rows = before(rows, by, order, F.col("_begins"), "_record", stretch).withColumn("_record", F.col("_record") + F.col("_begins"))
     inside = F.array_sort(F.collect_list(F.struct(order, "line")))
     whole = F.regexp_replace(F.array_join(F.transform(inside, lambda x: x["line"]), "\n"), r"\r\z", "")
     return rows.groupBy(*by, "_record").agg(F.min(order).alias(order), F.count(F.lit(1)).alias("n_lines"), whole.alias("record")).drop("_record")

@@ -457,7 +457,7 @@ def csv_records(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     line = cells.csv_line([F.col("doc_id"), F.lit('a;"b"'), F.col("text")])
     lines = d.select(F.col("source"), "doc_id", F.posexplode(F.split(line, "\n")).alias("k", "line"))
-    found = cells.csv_records(lines.select("source", (F.col("doc_id") * (1 << 30) + F.col("k")).alias("at"), "line"), ["source"], "at")
+    found = cells.csv_records(lines.select("source", (F.col("doc_id") * (1 << 30) + F.col("k")).alias("at"), "line"), ["source"], "at", 1000 << 30)  # a thousand documents
     c = found.withColumn("cells", cells.csv_values(F.col("record"), ";"))
     return c.select("source", F.get("cells", F.lit(0)).cast("long").alias("doc_id"), F.size("cells").alias("n_cells"), "n_lines", F.sha1(F.get("cells", F.lit(2))).alias("print"))
 

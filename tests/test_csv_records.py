@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import cells, scale
+from docloom.operators import cells
 
 
 @pytest.fixture(scope="module")
@@ -40,12 +40,11 @@ def test_files_cut_anywhere(spark, tmp_path, table, cut, end):
         assert cells.read_csv_lines(own, str(tmp_path / "x.csv")).select(F.spark_partition_id()).distinct().count() > 5
 
 
-def test_stretches_and_files(spark, table, monkeypatch):
+def test_stretches_and_files(spark, table):
     text, want = table
     lines = [(f, k * 1000, line) for f in ("a", "b") for k, line in enumerate(text.removesuffix("\n").split("\n"))]
     random.Random(1).shuffle(lines)
-    monkeypatch.setattr(scale.before, "__defaults__", (5000,))
-    found = cells.csv_records(spark.createDataFrame(lines, "file string, at long, line string"), ["file"], "at").where("record <> ''")
+    found = cells.csv_records(spark.createDataFrame(lines, "file string, at long, line string"), ["file"], "at", 5000).where("record <> ''")
     got = found.select("file", "at", cells.csv_values(F.col("record"), ",").alias("cells")).orderBy("file", "at").collect()
     assert [r["cells"] for r in got] == want * 2
 
