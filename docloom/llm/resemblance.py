@@ -1,13 +1,15 @@
-"""Near copies: an exact self-join of texts by the Jaccard similarity of their word shingles.
+"""Near copies by the Jaccard similarity of word shingles: verification of pairs, and an exact join for those SimHash leaves out.
+
+SimHash anchors bring most near copies together (simhash.near_pairs); their pairs are verified here by whole shingle sets. The
+join then adds the pairs of texts that are not tied by these.
 
 Of a text's different shingles, in one order for all texts, those in its prefix (n - ceil(SIMILARITY * n) + 1) are its keys: two
 texts that are similar enough share one of them, so no pair is missed (up to collisions of 64-bit hashes). Any common order is
 right; here shingles that many texts hold come last, so that a common passage brings no texts together. Keys are counted, with
 combination before the shuffle, and those of one text alone are done with.
 
-Within a key and a class of length each text is tied to one of a few leaders first. Only pairs that are not tied by then are
-compared one by one: of a key's texts, those outside of its largest tied set with all. What meets passes the length and
-positional filters, then that of parities, and is verified by whole shingle sets. No group is capped or dropped.
+Only pairs that are not tied by then are compared one by one: of a key's texts, those outside of its largest tied set with all.
+What meets passes the positional filter, then that of parities, and is verified by whole shingle sets. No filter can lose a pair, and no group is capped or dropped.
 
 Null texts count as empty; texts without words are near copies of each other. A text with fewer words than a shingle is one.
 """
@@ -29,7 +31,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A shingle is frequent if so many texts of a few chunks hold it; the order knows the most frequent ones. It decides on cost only.
 FREQUENT_IN_CHUNKS, CHUNKS, FREQUENT = 2, 10, 200_000
-LEADERS = 4
 MARK_BITS = 12
 
 
@@ -50,7 +51,7 @@ def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]
     return out
 
 
-def _chunks(batches: Iterator, name: str) -> Iterator[tuple[list, list[bytes]]]:
+def chunks(batches: Iterator, name: str) -> Iterator[tuple[list, list[bytes]]]:
     """A column's values and the texts of as many rows as make up a chunk of text."""
     held, texts, total = [], [], 0
     for batch in batches:
@@ -85,8 +86,8 @@ def frequent_shingles(documents: DataFrame, shingle: int, scratch: Scratch) -> t
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        chunks = _chunks(batches, "tid")
-        while some := [s for _, texts in islice(chunks, CHUNKS) for s in shingle_sets(texts, shingle)]:
+        dealt = chunks(batches, "tid")
+        while some := [s for _, texts in islice(dealt, CHUNKS) for s in shingle_sets(texts, shingle)]:
             key, n = np.unique(np.concatenate(some), return_counts=True)
             many = n >= FREQUENT_IN_CHUNKS
             yield pa.RecordBatch.from_arrays([pa.array(key[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["key", "n"])
@@ -106,7 +107,7 @@ def prefix_entries(documents: DataFrame, shingle: int, similarity: float, scratc
         import pyarrow as pa
 
         known, counts = sent.value
-        for tids, texts in _chunks(batches, "tid"):
+        for tids, texts in chunks(batches, "tid"):
             keys, lengths = [], []
             for s in shingle_sets(texts, shingle):
                 lengths.append(len(s))
@@ -131,18 +132,6 @@ def shared_entries(entries: DataFrame, scratch: Scratch) -> DataFrame:
     return met.groupBy("key", "tid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
 
 
-def stars(entries: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of each text with the leader of its key and class of length; a text has about LEADERS different ones."""
-    step = float(np.log(1 / similarity))
-    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int").alias("size")
-    classed = scratch.write(entries.select("key", size, "tid", "n"), "classed")
-    luck = F.xxhash64("tid", F.pmod("key", F.lit(LEADERS)))
-    first = F.min(F.struct(luck.alias("luck"), F.col("tid").alias("a"), F.col("n").alias("n_a"))).alias("first")
-    leaders = scratch.write(classed.groupBy("key", "size").agg(first, F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "size", "first.*"), "leaders")
-    near = F.least("n", "n_a") >= similarity * F.greatest("n", "n_a") - F.lit(1e-6)
-    return classed.join(leaders, ["key", "size"]).where((F.col("tid") != F.col("a")) & near).select("a", F.col("tid").alias("b")).distinct()
-
-
 def untied(entries: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) that share a key and pass the filters, of texts with different roots. One of each such pair is outside of the
     key's largest tied set, so only those meet all others."""
@@ -176,7 +165,7 @@ def verified(pairs: DataFrame, documents: DataFrame, shingle: int, similarity: f
     def of_texts(batches: Iterator, column: str) -> Iterator:
         import pyarrow as pa
 
-        for tids, texts in _chunks(batches, "tid"):
+        for tids, texts in chunks(batches, "tid"):
             found = shingle_sets(texts, shingle)
             held = [parity(s) for s in found] if column == "mark" else [s.tobytes() for s in found]
             cols = [pa.array(tids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(held, pa.binary())]
@@ -225,18 +214,17 @@ def verified(pairs: DataFrame, documents: DataFrame, shingle: int, similarity: f
     return links
 
 
-def near_copies(documents: DataFrame, scratch: Scratch, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """tid (hash of the text), label of the texts with near copies: the least tid reachable over pairs of at least this similarity."""
+def completed(tied: DataFrame, documents: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
+    """tid (hash of the text), label of the texts with near copies: the least tid reachable over pairs of at least this similarity.
+
+    tied has such pairs already; the join looks for those of texts that these don't connect.
+    """
     entries = scratch.write(prefix_entries(documents, shingle, similarity, scratch), "entries")
     shared = scratch.write(shared_entries(entries, scratch), "shared")
     for done in ("entries", "shared-keys", "frequent"):
         scratch.drop(done)
-    tied = verified(stars(shared, similarity, scratch), documents, shingle, similarity, scratch, "tied")
-    for done in ("classed", "leaders"):
-        scratch.drop(done)
     roots = scratch.write(connected_components(tied, Scratch(documents.sparkSession, "tied")).toDF("tid", "root"), "roots")
     rest = verified(untied(shared, roots, similarity, scratch), documents, shingle, similarity, scratch, "rest")
     for done in ("shared", "labelled", "largest", "rest"):
         scratch.drop(done)
-    labels = connected_components(tied.union(rest), Scratch(documents.sparkSession, "near")).toDF("tid", "label")
-    return labels
+    return connected_components(tied.union(rest), Scratch(documents.sparkSession, "near")).toDF("tid", "label")

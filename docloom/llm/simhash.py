@@ -10,6 +10,11 @@ An anchor's fingerprints are compared as a sorted run. Runs above RUN don't stay
 midpoints instead. Two fingerprints within two bits share a point within one bit of both, and at most 65 fingerprints lie
 that close to a point. No group is capped or dropped. Links of a group go out as a forest, not as all pairs.
 
+The pipeline's stage asks for texts whose shingle sets are similar, which stand further apart. It covers the quarters of a
+fingerprint: of two within NEAR_DISTANCE (11) bits, one quarter differs in at most two, and there they meet at a word of the
+Hamming code [15, 11]. What meets is verified on whole shingle sets. Pairs beyond that radius, and those that a crowded anchor
+left out, come from an exact join of the texts that are not tied by then (resemblance.untied).
+
 Null texts count as empty and get fingerprint zero. Null doc_ids are last: a component without any other id has a null
 component_id. Repeated rows get the same result each. An empty table gives no rows.
 """
@@ -32,6 +37,11 @@ SEED = 42
 RUN = 1024
 #: Replicated fingerprints (16 bytes each) that one task sorts and compares, about.
 POINTS = 500_000
+NEAR_DISTANCE = 11
+#: At an anchor a text is paired with so many of its nearest ones that have as many shingles or more. The exact join has the rest.
+NEAREST = 4
+#: Anchors with more texts than this first tie what lies around a few of them. It decides on cost only.
+CROWD = 20_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -46,11 +56,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[-n:].tolist()
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)], "<u8")
+    return majority(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops)], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the 64-bit hashes."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 8192):
+    for i in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -78,11 +92,11 @@ def _syndrome_tables() -> np.ndarray:
     return out
 
 
-def _moves() -> np.ndarray:
-    """For each syndrome the 16 sets of at most two bits that lead to a code word; syndrome 0 repeats the empty set."""
-    out = np.zeros((32, 16), np.int64)
-    for s in range(1, 32):
-        pairs = [(1 << (i - 1)) | (1 << ((i ^ s) - 1)) for i in range(1, 32) if i ^ s > i]
+def _moves(bits: int = 31) -> np.ndarray:
+    """For each syndrome the sets of at most two bits that lead to a code word, 16 of 31 bits; syndrome 0 repeats the empty set."""
+    out = np.zeros((bits + 1, (bits + 1) // 2), np.int64)
+    for s in range(1, bits + 1):
+        pairs = [(1 << (i - 1)) | (1 << ((i ^ s) - 1)) for i in range(1, bits + 1) if i ^ s > i]
         out[s] = [1 << (s - 1), *pairs]
     return out
 
@@ -102,6 +116,22 @@ def anchors_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def quarter_anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, index of the fingerprint): the code words within two bits of the first 15 bits of each quarter."""
+    moves, every = _moves(15), np.arange(1 << 15)
+    syndromes = np.bitwise_xor.reduce([(every >> bit & 1) * (bit + 1) for bit in range(15)])
+    keys, rows = [], []
+    for quarter in range(4):
+        points = (fps.view(np.uint64) >> np.uint64(16 * quarter)).astype(np.int64) & 0x7FFF
+        s = syndromes[points]
+        words = points[:, None] ^ moves[s]
+        first = np.ones(words.shape, bool)
+        first[s == 0, 1:] = False
+        keys.append((words | quarter << 15)[first])
+        rows.append(np.nonzero(first)[0])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
 def _near(a, b) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= DISTANCE  # of signed numbers it would count those of the absolute value
 
@@ -234,14 +264,102 @@ def one_of_each(documents: DataFrame, labelled: DataFrame, scratch: Scratch) ->
     return without(documents, met.where("NOT kept"), met.where("kept AND n > 1"), row_key)
 
 
+def text_prints(documents: DataFrame, shingle: int) -> DataFrame:
+    """Per different text: tid (its hash), n (different shingles) and fp (SimHash of these)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for tids, texts in resemblance.chunks(batches, "tid"):
+            found = resemblance.shingle_sets(texts, shingle)
+            fps = np.array([majority(s) for s in found], "<u8").view("<i8")
+            cols = [pa.array(tids, pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array(fps)]
+            yield pa.RecordBatch.from_arrays(cols, ["tid", "n", "fp"])
+
+    rows = documents.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), "text")
+    return rows.mapInArrow(run, "tid long, n int, fp long").dropDuplicates(["tid"])
+
+
+def _runs(batches: Iterator) -> Iterator[list[np.ndarray]]:
+    """tid, fp and n of each anchor's texts; rows come by anchor."""
+    held, last = [], None
+    for batch in batches:
+        anchors, *cols = (batch.column(c).to_numpy() for c in ("anchor", "tid", "fp", "n"))
+        cuts = [0, *(np.flatnonzero(np.diff(anchors)) + 1).tolist(), len(anchors)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                if held and anchors[a] != last:
+                    yield [np.concatenate(c) for c in zip(*held)]
+                    held = []
+                last = anchors[a]
+                held.append([c[a:b] for c in cols])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _pairs_of(tid: np.ndarray, fp: np.ndarray, n: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of an anchor's texts, sorted by n: within NEAR_DISTANCE bits, and of such lengths that they can be similar."""
+    fp = fp.view(np.uint64)
+    while len(tid) > CROWD:
+        lead = len(tid) // 2
+        near = (np.bitwise_count(fp ^ fp[lead]) <= NEAR_DISTANCE) & (np.minimum(n, n[lead]) >= similarity * np.maximum(n, n[lead]) - 1e-6)
+        if 100 * near.sum() < len(tid):
+            break
+        near[lead] = False
+        yield np.full(near.sum(), tid[lead]), tid[near]
+        near[lead] = True
+        tid, fp, n = tid[~near], fp[~near], n[~near]
+    ends = np.searchsorted(n, n / similarity + 1e-6, "right")
+    at = 0
+    while at < len(tid) - 1:
+        to = at + max(1, min(512, 1_000_000 // int(ends[min(at + 512, len(tid)) - 1] - at)))
+        end = int(ends[min(to, len(tid)) - 1])
+        bits = np.bitwise_count(fp[at:to, None] ^ fp[None, at:end])
+        i, j = np.nonzero(bits <= NEAR_DISTANCE)
+        good = (j > i) & (at + j < ends[at + i])
+        i, j = i[good], j[good]
+        order = np.lexsort((bits[i, j], i))
+        i, j = i[order], j[order]
+        among = np.arange(len(i)) - np.searchsorted(i, i)
+        yield tid[at + i[among < NEAREST]], tid[at + j[among < NEAREST]]
+        at = to
+
+
+def near_pairs(prints: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts that meet at an anchor of a quarter within NEAR_DISTANCE bits."""
+
+    def replicate(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            tid, fp, n = (batch.column(c).to_numpy() for c in ("tid", "fp", "n"))
+            for i in range(0, len(tid), 4000):
+                anchor, row = quarter_anchors(fp[i : i + 4000])
+                cols = [anchor.astype(np.int32), *(c[i : i + 4000][row] for c in (tid, fp, n))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "tid", "fp", "n"])
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for run in _runs(batches):
+            for a, b in _pairs_of(*run, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    points = prints.select("tid", "fp", "n").mapInArrow(replicate, "anchor int, tid long, fp long, n int")
+    dealt = points.repartition(max(1, -(-32 * prints.count() // POINTS)), "anchor").sortWithinPartitions("anchor", "n")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
 def keep_one_of_each(documents: DataFrame, shingle: int = resemblance.SHINGLE, similarity: float = resemblance.SIMILARITY) -> DataFrame:
     """One document of each group of near copies: word shingles with a Jaccard similarity of at least this, link by link.
 
-    op10's radius of two bits misses most such pairs, and no radius that anchors can cover holds them all; so the pairs
-    come from an exact join.
+    SimHash anchors bring the texts together and whole shingle sets decide; an exact join adds the pairs beyond the anchors' radius.
     """
     scratch = Scratch(documents.sparkSession, "near-copies")
-    labels = scratch.write(resemblance.near_copies(documents, scratch, shingle, similarity), "labels")
+    prints = scratch.write(text_prints(documents, shingle), "prints")
+    tied = resemblance.verified(near_pairs(prints, similarity), documents, shingle, similarity, scratch, "tied")
+    labels = scratch.write(resemblance.completed(tied, documents, scratch, shingle, similarity), "labels")
+    scratch.drop("prints")
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
     labelled = rows.join(sized(labels), rows["tag"] == labels["tid"], "left").select("doc_id", "tag", F.coalesce("label", "tag").alias("label"))
     return one_of_each(documents, labelled, scratch)
