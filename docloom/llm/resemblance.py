@@ -9,7 +9,8 @@ right; here shingles that many texts hold come last, so that a common passage br
 combination before the shuffle, and those of one text alone are done with.
 
 Only pairs that are not tied by then are compared one by one: of a key's texts, those outside of its largest tied set with all.
-What meets passes the positional filter, then that of parities, and is verified by whole shingle sets. No filter can lose a pair, and no group is capped or dropped.
+The join makes a row of those only that pass the positional filter and that of short parities (512 bits); then longer parities
+and whole shingle sets decide. No filter can lose a pair, and no group is capped or dropped.
 
 Null texts count as empty; texts without words are near copies of each other. A text with fewer words than a shingle is one.
 """
@@ -17,10 +18,11 @@ Null texts count as empty; texts without words are near copies of each other. A
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch, utf8
 from .components import connected_components
@@ -32,6 +34,8 @@ SIMILARITY = 0.8
 #: A shingle is frequent if so many texts of a few chunks hold it; the order knows the most frequent ones. It decides on cost only.
 FREQUENT_IN_CHUNKS, CHUNKS, FREQUENT = 2, 10, 200_000
 MARK_BITS = 12
+#: Parities that the join compares itself: 2**SHORT_BITS bits, in so many longs.
+SHORT_BITS, SHORT_MARKS = 9, 8
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -132,9 +136,9 @@ def shared_entries(entries: DataFrame, scratch: Scratch) -> DataFrame:
     return met.groupBy("key", "tid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
 
 
-def untied(entries: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def untied(entries: DataFrame, roots: DataFrame, prints: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) that share a key and pass the filters, of texts with different roots. One of each such pair is outside of the
-    key's largest tied set, so only those meet all others."""
+    key's largest tied set, so only those meet all others. prints has the short parities m0, m1, ... by tid."""
     labelled = entries.join(sized(roots), "tid", "left").select("key", "tid", "n", "pos", F.coalesce("root", "tid").alias("root"))
     labelled = scratch.write(labelled, "labelled")
     largest = (
@@ -142,13 +146,17 @@ def untied(entries: DataFrame, roots: DataFrame, similarity: float, scratch: Scr
         .groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("largest"), F.count(F.lit(1)).alias("roots"))
     )
     largest = scratch.write(largest.where("roots > 1").drop("roots"), "largest")
-    rest = scratch.write(labelled.join(largest, "key").withColumn("outside", F.col("root") != F.col("largest")).drop("largest"), "rest")
-    x = rest.where("outside").select("key", *(F.col(c).alias(f"{c}_a") for c in ("tid", "n", "pos", "root")))
-    y = rest.select("key", "outside", *(F.col(c).alias(f"{c}_b") for c in ("tid", "n", "pos", "root")))
+    marks = [f"m{i}" for i in range(SHORT_MARKS)]
+    met = labelled.join(largest, "key").withColumn("outside", F.col("root") != F.col("largest")).drop("largest")
+    rest = scratch.write(met.join(prints.select("tid", *marks), "tid"), "rest")
+    x = rest.where("outside").select("key", *(F.col(c).alias(f"{c}_a") for c in ("tid", "n", "pos", "root", *marks)))
+    y = rest.select("key", "outside", *(F.col(c).alias(f"{c}_b") for c in ("tid", "n", "pos", "root", *marks)))
     best = 1 + F.least(F.col("n_a") - 1 - F.col("pos_a"), F.col("n_b") - 1 - F.col("pos_b"))
     room = best >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
     once = ~F.col("outside") | (F.col("tid_a") < F.col("tid_b"))
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") != F.col("root_b")) & once & room)
+    differing = reduce(Column.__add__, (F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in marks))
+    alike = differing <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-6)
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("root_a") != F.col("root_b")) & once & room & alike)
     return pairs.select(F.least("tid_a", "tid_b").alias("a"), F.greatest("tid_a", "tid_b").alias("b")).distinct()
 
 
@@ -214,7 +222,7 @@ def verified(pairs: DataFrame, documents: DataFrame, shingle: int, similarity: f
     return links
 
 
-def completed(tied: DataFrame, documents: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
+def completed(tied: DataFrame, prints: DataFrame, documents: DataFrame, scratch: Scratch, shingle: int, similarity: float) -> DataFrame:
     """tid (hash of the text), label of the texts with near copies: the least tid reachable over pairs of at least this similarity.
 
     tied has such pairs already; the join looks for those of texts that these don't connect.
@@ -224,7 +232,7 @@ def completed(tied: DataFrame, documents: DataFrame, scratch: Scratch, shingle:
     for done in ("entries", "shared-keys", "frequent"):
         scratch.drop(done)
     roots = scratch.write(connected_components(tied, Scratch(documents.sparkSession, "tied")).toDF("tid", "root"), "roots")
-    rest = verified(untied(shared, roots, similarity, scratch), documents, shingle, similarity, scratch, "rest")
+    rest = verified(untied(shared, roots, prints, similarity, scratch), documents, shingle, similarity, scratch, "rest")
     for done in ("shared", "labelled", "largest", "rest"):
         scratch.drop(done)
     return connected_components(tied.union(rest), Scratch(documents.sparkSession, "near")).toDF("tid", "label")

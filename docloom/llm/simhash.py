@@ -265,7 +265,8 @@ def one_of_each(documents: DataFrame, labelled: DataFrame, scratch: Scratch) ->
 
 
 def text_prints(documents: DataFrame, shingle: int) -> DataFrame:
-    """Per different text: tid (its hash), n (different shingles) and fp (SimHash of these)."""
+    """Per different text: tid (its hash), n (different shingles), fp (SimHash of these) and m0, m1, ... (parity of these in longs)."""
+    marks = [f"m{i}" for i in range(resemblance.SHORT_MARKS)]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -273,11 +274,12 @@ def text_prints(documents: DataFrame, shingle: int) -> DataFrame:
         for tids, texts in resemblance.chunks(batches, "tid"):
             found = resemblance.shingle_sets(texts, shingle)
             fps = np.array([majority(s) for s in found], "<u8").view("<i8")
-            cols = [pa.array(tids, pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array(fps)]
-            yield pa.RecordBatch.from_arrays(cols, ["tid", "n", "fp"])
+            held = np.array([np.frombuffer(resemblance.parity(s, resemblance.SHORT_BITS), "<i8") for s in found])
+            cols = [pa.array(tids, pa.int64()), pa.array([len(s) for s in found], pa.int32()), pa.array(fps), *map(pa.array, held.T.copy())]
+            yield pa.RecordBatch.from_arrays(cols, ["tid", "n", "fp", *marks])
 
     rows = documents.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), "text")
-    return rows.mapInArrow(run, "tid long, n int, fp long").dropDuplicates(["tid"])
+    return rows.mapInArrow(run, "tid long, n int, fp long, " + ", ".join(f"{m} long" for m in marks)).dropDuplicates(["tid"])
 
 
 def _runs(batches: Iterator) -> Iterator[list[np.ndarray]]:
@@ -358,7 +360,7 @@ def keep_one_of_each(documents: DataFrame, shingle: int = resemblance.SHINGLE, s
     scratch = Scratch(documents.sparkSession, "near-copies")
     prints = scratch.write(text_prints(documents, shingle), "prints")
     tied = resemblance.verified(near_pairs(prints, similarity), documents, shingle, similarity, scratch, "tied")
-    labels = scratch.write(resemblance.completed(tied, documents, scratch, shingle, similarity), "labels")
+    labels = scratch.write(resemblance.completed(tied, prints, documents, scratch, shingle, similarity), "labels")
     scratch.drop("prints")
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
     labelled = rows.join(sized(labels), rows["tag"] == labels["tid"], "left").select("doc_id", "tag", F.coalesce("label", "tag").alias("label"))

@@ -1,11 +1,11 @@
-"""The pipeline's near-copy stage: SimHash anchors against brute force."""
+"""The pipeline's near-copy stage: SimHash anchors against brute force, and the rows its exact join makes in large groups."""
 
 import random
 
 import numpy as np
 import pytest
 
-from docloom.llm import resemblance, simhash
+from docloom.llm import common, resemblance, simhash
 
 
 def _documents(spark, texts):
@@ -41,7 +41,8 @@ def test_stage_ties_texts_by_simhash(spark, monkeypatch):
     prints = simhash.text_prints(docs, 5).collect()
     assert len(prints) == len(texts)
     for hashes in resemblance.shingle_sets([t.encode() for t in texts]):
-        assert any(r["n"] == len(hashes) and r["fp"] & (2**64 - 1) == _majority(hashes.tolist()) for r in prints)
+        row = next(r for r in prints if r["n"] == len(hashes) and r["fp"] & (2**64 - 1) == _majority(hashes.tolist()))
+        assert sum(bin(row[f"m{i}"] & (2**64 - 1)).count("1") for i in range(8)) == _odd(hashes)
     fp, n = {r["tid"]: r["fp"] & (2**64 - 1) for r in prints}, {r["tid"]: r["n"] for r in prints}
     want = {(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 11 and min(n[a], n[b]) >= 0.8 * max(n[a], n[b])}
     got = [tuple(r) for r in simhash.near_pairs(simhash.text_prints(docs, 5), 0.8).collect()]
@@ -57,6 +58,13 @@ def _majority(hashes):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def _odd(hashes):
+    counts = {}
+    for h in hashes.tolist():
+        counts[h >> 55] = counts.get(h >> 55, 0) + 1
+    return sum(c % 2 for c in counts.values())
+
+
 @pytest.mark.parametrize("crowd", [20_000, 50])
 def test_crowded_anchors(monkeypatch, crowd):
     """One ball of fingerprints: every pair is within the radius and the lengths, pairs grow with the texts, and all are tied."""
@@ -78,3 +86,20 @@ def test_crowded_anchors(monkeypatch, crowd):
         assert i != j and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])
         root[find(i)] = find(j)
     assert len(pairs) <= simhash.NEAREST * 3000 and len({find(i) for i in range(3000)}) == 1
+
+
+def test_rows_of_a_large_group(spark):
+    """Texts of one passage that are no near copies of each other share keys, and the join makes few rows of them; no near pair is lost."""
+    rng = random.Random(4)
+    texts = _group(rng, 150, [4, 5]) + _group(rng, 6, [1, 2])
+    docs, scratch = _documents(spark, texts), common.Scratch(spark, "test")
+    prints = scratch.write(simhash.text_prints(docs, 5), "prints")
+    shared = scratch.write(resemblance.shared_entries(resemblance.prefix_entries(docs, 5, 0.8, scratch), scratch), "shared")
+    none = spark.createDataFrame([], "tid long, root long")
+    pairs = {tuple(r) for r in resemblance.untied(shared, none, prints, 0.8, scratch).collect()}
+    by_key = shared.alias("x").join(shared.alias("y"), "key").where("x.tid < y.tid").select("x.tid", "y.tid").distinct().count()
+    tids = {r["text"]: r["tid"] for r in docs.selectExpr("text", "xxhash64(text) tid").collect()}
+    sets = {tids[t]: _shingles(t) for t in texts}
+    near = {(a, b) for a in sets for b in sets if a < b and _jaccard(sets[a], sets[b]) >= 0.8}
+    assert near <= pairs and len(near) > 10
+    assert by_key > 5000 and len(pairs) < by_key / 10
