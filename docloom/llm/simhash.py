@@ -12,7 +12,8 @@ that close to a point. No group is capped or dropped. Links of a group go out as
 
 The pipeline's stage asks for texts whose shingle sets are similar, which stand further apart. It covers the quarters of a
 fingerprint: of two within NEAR_DISTANCE (11) bits, one quarter differs in at most two, and there they meet at a word of the
-Hamming code [15, 11]. What meets is verified on whole shingle sets. Pairs beyond that radius, and those that a crowded anchor
+Hamming code [15, 11]. A pair that meets at several words is made at the first of them only. What meets is verified on whole
+shingle sets. Pairs beyond that radius, and those that a crowded anchor
 left out, come from an exact join of the texts that are not tied by then (resemblance.untied).
 
 Null texts count as empty and get fingerprint zero. Null doc_ids are last: a component without any other id has a null
@@ -21,6 +22,7 @@ component_id. Repeated rows get the same result each. An empty table gives no ro
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,8 @@ RUN = 1024
 #: Replicated fingerprints (16 bytes each) that one task sorts and compares, about.
 POINTS = 500_000
 NEAR_DISTANCE = 11
-#: At an anchor a text is paired with so many of its nearest ones that have as many shingles or more. The exact join has the rest.
+#: At an anchor a text is paired with so many of the nearest ones that it first meets there and that have as many shingles or more.
+#: The exact join has the rest.
 NEAREST = 4
 #: Anchors with more texts than this first tie what lies around a few of them. It decides on cost only.
 CROWD = 20_000
@@ -116,22 +119,50 @@ def anchors_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
+@functools.cache
+def _word_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The syndrome of each 15-bit point, and the moves to code words by syndrome."""
+    every = np.arange(1 << 15)
+    return np.bitwise_xor.reduce([(every >> bit & 1) * (bit + 1) for bit in range(15)]), _moves(15).astype(np.uint16)
+
+
+def _quarter(fps: np.ndarray, quarter: int) -> np.ndarray:
+    """The first 15 bits of a quarter."""
+    return (fps.view(np.uint64) >> np.uint64(16 * quarter)).astype(np.uint16) & np.uint16(0x7FFF)
+
+
 def quarter_anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(anchor, index of the fingerprint): the code words within two bits of the first 15 bits of each quarter."""
-    moves, every = _moves(15), np.arange(1 << 15)
-    syndromes = np.bitwise_xor.reduce([(every >> bit & 1) * (bit + 1) for bit in range(15)])
+    syndromes, moves = _word_tables()
     keys, rows = [], []
     for quarter in range(4):
-        points = (fps.view(np.uint64) >> np.uint64(16 * quarter)).astype(np.int64) & 0x7FFF
+        points = _quarter(fps, quarter)
         s = syndromes[points]
         words = points[:, None] ^ moves[s]
         first = np.ones(words.shape, bool)
         first[s == 0, 1:] = False
-        keys.append((words | quarter << 15)[first])
+        keys.append(words[first].astype(np.int64) | quarter << 15)
         rows.append(np.nonzero(first)[0])
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def first_met(a: np.ndarray, b: np.ndarray, anchor: int) -> np.ndarray:
+    """Of pairs of fingerprints that meet at this anchor, whether they meet at no smaller one."""
+    syndromes, moves = _word_tables()
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 50_000):
+        first = np.arange(at, min(at + 50_000, len(a)))
+        for quarter in range((anchor >> 15) + 1):
+            points = _quarter(a[first], quarter)
+            words = points[:, None] ^ moves[syndromes[points]]
+            met = np.bitwise_count(words ^ _quarter(b[first], quarter)[:, None]) <= 2
+            if quarter == anchor >> 15:
+                met &= words < (anchor & 0x7FFF)
+            first = first[~met.any(1)]
+        out[first] = True
+    return out
+
+
 def _near(a, b) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= DISTANCE  # of signed numbers it would count those of the absolute value
 
@@ -282,8 +313,8 @@ def text_prints(documents: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "tid long, n int, fp long, " + ", ".join(f"{m} long" for m in marks)).dropDuplicates(["tid"])
 
 
-def _runs(batches: Iterator) -> Iterator[list[np.ndarray]]:
-    """tid, fp and n of each anchor's texts; rows come by anchor."""
+def _runs(batches: Iterator) -> Iterator[tuple[list[np.ndarray], int]]:
+    """tid, fp and n of each anchor's texts, and the anchor; rows come by anchor."""
     held, last = [], None
     for batch in batches:
         anchors, *cols = (batch.column(c).to_numpy() for c in ("anchor", "tid", "fp", "n"))
@@ -291,16 +322,21 @@ def _runs(batches: Iterator) -> Iterator[list[np.ndarray]]:
         for a, b in zip(cuts, cuts[1:]):
             if a < b:
                 if held and anchors[a] != last:
-                    yield [np.concatenate(c) for c in zip(*held)]
+                    yield [np.concatenate(c) for c in zip(*held)], last
                     held = []
-                last = anchors[a]
+                last = int(anchors[a])
                 held.append([c[a:b] for c in cols])
     if held:
-        yield [np.concatenate(c) for c in zip(*held)]
+        yield [np.concatenate(c) for c in zip(*held)], last
+
 
+def _pairs_of(
+    tid: np.ndarray, fp: np.ndarray, n: np.ndarray, similarity: float, anchor: int | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of an anchor's texts, sorted by n: within NEAR_DISTANCE bits, and of such lengths that they can be similar.
 
-def _pairs_of(tid: np.ndarray, fp: np.ndarray, n: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of an anchor's texts, sorted by n: within NEAR_DISTANCE bits, and of such lengths that they can be similar."""
+    Near texts meet at up to 32 anchors: with the anchor given, their pair is left to the smallest of these.
+    """
     fp = fp.view(np.uint64)
     while len(tid) > CROWD:
         lead = len(tid) // 2
@@ -320,6 +356,9 @@ def _pairs_of(tid: np.ndarray, fp: np.ndarray, n: np.ndarray, similarity: float)
         i, j = np.nonzero(bits <= NEAR_DISTANCE)
         good = (j > i) & (at + j < ends[at + i])
         i, j = i[good], j[good]
+        if anchor is not None:
+            first = first_met(fp[at + i], fp[at + j], anchor)
+            i, j = i[first], j[first]
         order = np.lexsort((bits[i, j], i))
         i, j = i[order], j[order]
         among = np.arange(len(i)) - np.searchsorted(i, i)
@@ -328,7 +367,10 @@ def _pairs_of(tid: np.ndarray, fp: np.ndarray, n: np.ndarray, similarity: float)
 
 
 def near_pairs(prints: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts that meet at an anchor of a quarter within NEAR_DISTANCE bits."""
+    """Pairs (a, b) of texts that meet at an anchor of a quarter within NEAR_DISTANCE bits, each made at the first such anchor.
+
+    Only what a crowd's leads tie may come again.
+    """
 
     def replicate(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -343,8 +385,8 @@ def near_pairs(prints: DataFrame, similarity: float) -> DataFrame:
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for run in _runs(batches):
-            for a, b in _pairs_of(*run, similarity):
+        for run, anchor in _runs(batches):
+            for a, b in _pairs_of(*run, similarity, anchor):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     points = prints.select("tid", "fp", "n").mapInArrow(replicate, "anchor int, tid long, fp long, n int")

@@ -103,3 +103,48 @@ def test_rows_of_a_large_group(spark):
     near = {(a, b) for a in sets for b in sets if a < b and _jaccard(sets[a], sets[b]) >= 0.8}
     assert near <= pairs and len(near) > 10
     assert by_key > 5000 and len(pairs) < by_key / 10
+
+
+def _met(fp, n):
+    """All pairs made at the anchors of these fingerprints, with repeats."""
+    anchor, row = simhash.quarter_anchors(fp)
+    order = np.lexsort((n[row], anchor))
+    anchor, row = anchor[order], row[order]
+    cuts = np.flatnonzero(np.diff(anchor)) + 1
+    out = []
+    for at, run in zip(anchor[np.concatenate(([0], cuts))].tolist(), np.split(row, cuts)):
+        for a, b in simhash._pairs_of(run, fp[run], n[run], 0.8, at):
+            out += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
+    return out
+
+
+def _ball(size, seed):
+    rng = np.random.default_rng(seed)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (size, 4)).astype(np.uint64), axis=1)
+    return (flips ^ np.uint64(0xFEDCBA9876543210)).view(np.int64), rng.integers(100, 120, size).astype(np.int32)
+
+
+def test_pairs_of_a_large_group_are_made_once(spark):
+    """Near copies meet at many anchors; each pair comes from one only, pairs grow with the group, and it is still tied as a whole."""
+    made = []
+    for size in (1000, 2000):
+        pairs = _met(*_ball(size, 5))
+        assert len(pairs) == len(set(pairs))
+        label = list(range(size))
+        for _ in range(10):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        assert set(label) == {0}
+        made.append(len(pairs))
+    assert made[1] < 2.5 * made[0]
+    fp, n = _ball(60, 6)
+    bits = {(a, b): (int(fp[a] ^ fp[b]) & (2**64 - 1)).bit_count() for a in range(60) for b in range(a)}
+    anchors = [set(a.tolist()) for a in map(lambda f: simhash.quarter_anchors(f)[0], np.split(fp, 60))]
+    for (a, b), d in bits.items():
+        common = sorted(anchors[a] & anchors[b])
+        assert common or d > 11
+        for at in common:
+            assert simhash.first_met(fp[a : a + 1], fp[b : b + 1], at)[0] == (at == common[0])
+    prints = spark.createDataFrame([(i, int(f), int(m)) for i, (f, m) in enumerate(zip(*_ball(500, 7)))], "tid long, fp long, n int")
+    got = [tuple(r) for r in simhash.near_pairs(prints, 0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) <= {(a, b) for b in range(500) for a in range(b)}
