@@ -36,6 +36,7 @@ FREQUENT_IN_CHUNKS, CHUNKS, FREQUENT = 2, 10, 200_000
 MARK_BITS = 12
 #: Parities that the join compares itself: 2**SHORT_BITS bits, in so many longs.
 SHORT_BITS, SHORT_MARKS = 9, 8
+SHORT_NAMES = tuple(f"m{i}" for i in range(SHORT_MARKS))
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -79,6 +80,11 @@ def _share(n: int, similarity: float) -> int:
     return int(np.ceil(n * similarity - 1e-9))
 
 
+def most_differing(similarity: float) -> float:
+    """The most bits, for each shingle of both, that the parities of similar sets differ in."""
+    return (1 - similarity) / (1 + similarity) + 1e-9
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return common >= similarity * (len(a) + len(b) - common) - 1e-9
@@ -146,7 +152,7 @@ def untied(entries: DataFrame, roots: DataFrame, prints: DataFrame, similarity:
         .groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("largest"), F.count(F.lit(1)).alias("roots"))
     )
     largest = scratch.write(largest.where("roots > 1").drop("roots"), "largest")
-    marks = [f"m{i}" for i in range(SHORT_MARKS)]
+    marks = SHORT_NAMES
     met = labelled.join(largest, "key").withColumn("outside", F.col("root") != F.col("largest")).drop("largest")
     rest = scratch.write(met.join(prints.select("tid", *marks), "tid"), "rest")
     x = rest.where("outside").select("key", *(F.col(c).alias(f"{c}_a") for c in ("tid", "n", "pos", "root", *marks)))
@@ -235,4 +241,4 @@ def completed(tied: DataFrame, prints: DataFrame, documents: DataFrame, scratch:
     rest = verified(untied(shared, roots, prints, similarity, scratch), documents, shingle, similarity, scratch, "rest")
     for done in ("shared", "labelled", "largest", "rest"):
         scratch.drop(done)
-    return connected_components(tied.union(rest), Scratch(documents.sparkSession, "near")).toDF("tid", "label")
+    return connected_components(roots.toDF("a", "b").union(rest), Scratch(documents.sparkSession, "near")).toDF("tid", "label")

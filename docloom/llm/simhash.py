@@ -12,9 +12,10 @@ that close to a point. No group is capped or dropped. Links of a group go out as
 
 The pipeline's stage asks for texts whose shingle sets are similar, which stand further apart. It covers the quarters of a
 fingerprint: of two within NEAR_DISTANCE (11) bits, one quarter differs in at most two, and there they meet at a word of the
-Hamming code [15, 11]. A pair that meets at several words is made at the first of them only. What meets is verified on whole
-shingle sets. Pairs beyond that radius, and those that a crowded anchor
-left out, come from an exact join of the texts that are not tied by then (resemblance.untied).
+Hamming code [15, 11]. A pair that meets at several words is made at the first of them only. Parities of the shingle sets rule out
+at the anchor what cannot be similar, and of all its anchors a text keeps the few nearest texts, so that pairs grow with the texts
+and not with a group's square. These are verified on whole shingle sets. Pairs beyond that radius, and those left out, come from
+an exact join of the texts that are not tied by then (resemblance.untied).
 
 Null texts count as empty and get fingerprint zero. Null doc_ids are last: a component without any other id has a null
 component_id. Repeated rows get the same result each. An empty table gives no rows.
@@ -26,7 +27,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import resemblance
 from .common import Scratch, read, row_key, utf8
@@ -40,8 +41,8 @@ RUN = 1024
 #: Replicated fingerprints (16 bytes each) that one task sorts and compares, about.
 POINTS = 500_000
 NEAR_DISTANCE = 11
-#: At an anchor a text is paired with so many of the nearest ones that it first meets there and that have as many shingles or more.
-#: The exact join has the rest.
+#: At an anchor a text is paired with so many of the nearest ones that it first meets there and that come after it by number of
+#: shingles, then tid; of those from all its anchors, with so many of the nearest. The exact join has the rest.
 NEAREST = 4
 #: Anchors with more texts than this first tie what lies around a few of them. It decides on cost only.
 CROWD = 20_000
@@ -297,7 +298,7 @@ def one_of_each(documents: DataFrame, labelled: DataFrame, scratch: Scratch) ->
 
 def text_prints(documents: DataFrame, shingle: int) -> DataFrame:
     """Per different text: tid (its hash), n (different shingles), fp (SimHash of these) and m0, m1, ... (parity of these in longs)."""
-    marks = [f"m{i}" for i in range(resemblance.SHORT_MARKS)]
+    marks = resemblance.SHORT_NAMES
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -313,11 +314,11 @@ def text_prints(documents: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "tid long, n int, fp long, " + ", ".join(f"{m} long" for m in marks)).dropDuplicates(["tid"])
 
 
-def _runs(batches: Iterator) -> Iterator[tuple[list[np.ndarray], int]]:
-    """tid, fp and n of each anchor's texts, and the anchor; rows come by anchor."""
+def _runs(batches: Iterator, names: list[str]) -> Iterator[tuple[list[np.ndarray], int]]:
+    """The named columns of each anchor's texts, and the anchor; rows come by anchor."""
     held, last = [], None
     for batch in batches:
-        anchors, *cols = (batch.column(c).to_numpy() for c in ("anchor", "tid", "fp", "n"))
+        anchors, *cols = (batch.column(c).to_numpy() for c in ("anchor", *names))
         cuts = [0, *(np.flatnonzero(np.diff(anchors)) + 1).tolist(), len(anchors)]
         for a, b in zip(cuts, cuts[1:]):
             if a < b:
@@ -330,23 +331,38 @@ def _runs(batches: Iterator) -> Iterator[tuple[list[np.ndarray], int]]:
         yield [np.concatenate(c) for c in zip(*held)], last
 
 
+def _difference(fp: np.ndarray, n: np.ndarray, marks: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """By how much pairs of texts differ: bits of their parities for each shingle of both, or bits of their fingerprints."""
+    if marks is None:
+        return np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(float)
+    out = np.empty(len(i))
+    for at in range(0, len(i), 50_000):
+        a, b = i[at : at + 50_000], j[at : at + 50_000]
+        out[at : at + 50_000] = np.bitwise_count((marks[a] ^ marks[b]).view(np.uint64)).sum(1, dtype=np.int64) / (n[a] + n[b])
+    return out
+
+
 def _pairs_of(
-    tid: np.ndarray, fp: np.ndarray, n: np.ndarray, similarity: float, anchor: int | None = None
+    tid: np.ndarray, fp: np.ndarray, n: np.ndarray, similarity: float, anchor: int | None = None, marks: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of an anchor's texts, sorted by n: within NEAR_DISTANCE bits, and of such lengths that they can be similar.
 
-    Near texts meet at up to 32 anchors: with the anchor given, their pair is left to the smallest of these.
+    Near texts meet at up to 32 anchors: with the anchor given, their pair is left to the smallest of these. With marks (a row of
+    short parities for each text) pairs that cannot be similar by these are left out, and they tell which are nearest.
     """
-    fp = fp.view(np.uint64)
+    fp, most = fp.view(np.uint64), resemblance.most_differing(similarity)
     while len(tid) > CROWD:
         lead = len(tid) // 2
         near = (np.bitwise_count(fp ^ fp[lead]) <= NEAR_DISTANCE) & (np.minimum(n, n[lead]) >= similarity * np.maximum(n, n[lead]) - 1e-6)
+        if marks is not None:
+            at = np.flatnonzero(near)
+            near[at] = _difference(fp, n, marks, at, np.full(len(at), lead)) <= most
         if 100 * near.sum() < len(tid):
             break
         near[lead] = False
-        yield np.full(near.sum(), tid[lead]), tid[near]
+        yield tid[near], np.full(near.sum(), tid[lead])
         near[lead] = True
-        tid, fp, n = tid[~near], fp[~near], n[~near]
+        tid, fp, n, marks = tid[~near], fp[~near], n[~near], None if marks is None else marks[~near]
     ends = np.searchsorted(n, n / similarity + 1e-6, "right")
     at = 0
     while at < len(tid) - 1:
@@ -355,53 +371,68 @@ def _pairs_of(
         bits = np.bitwise_count(fp[at:to, None] ^ fp[None, at:end])
         i, j = np.nonzero(bits <= NEAR_DISTANCE)
         good = (j > i) & (at + j < ends[at + i])
-        i, j = i[good], j[good]
+        i, j = at + i[good], at + j[good]
+        apart = _difference(fp, n, marks, i, j)
+        if marks is not None:
+            good = apart <= most
+            i, j, apart = i[good], j[good], apart[good]
         if anchor is not None:
-            first = first_met(fp[at + i], fp[at + j], anchor)
-            i, j = i[first], j[first]
-        order = np.lexsort((bits[i, j], i))
+            first = first_met(fp[i], fp[j], anchor)
+            i, j, apart = i[first], j[first], apart[first]
+        order = np.lexsort((apart, i))
         i, j = i[order], j[order]
         among = np.arange(len(i)) - np.searchsorted(i, i)
-        yield tid[at + i[among < NEAREST]], tid[at + j[among < NEAREST]]
+        yield tid[i[among < NEAREST]], tid[j[among < NEAREST]]
         at = to
 
 
-def near_pairs(prints: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts that meet at an anchor of a quarter within NEAR_DISTANCE bits, each made at the first such anchor.
+def near_pairs(prints: DataFrame, similarity: float, marks: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b) of texts that meet at an anchor of a quarter within NEAR_DISTANCE bits: of each text with the NEAREST of those that
+    its anchors pair it with, each pair made at the first anchor. Only what a crowd's leads tie may come again.
 
-    Only what a crowd's leads tie may come again.
+    marks are the columns of short parities that rule pairs out and tell which are nearest; without them fingerprints do.
     """
+    names = ["tid", "fp", "n", *marks]
 
     def replicate(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            tid, fp, n = (batch.column(c).to_numpy() for c in ("tid", "fp", "n"))
-            for i in range(0, len(tid), 4000):
-                anchor, row = quarter_anchors(fp[i : i + 4000])
-                cols = [anchor.astype(np.int32), *(c[i : i + 4000][row] for c in (tid, fp, n))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "tid", "fp", "n"])
+            cols = [batch.column(c).to_numpy() for c in names]
+            for i in range(0, len(cols[0]), 4000):
+                anchor, row = quarter_anchors(cols[1][i : i + 4000])
+                for k in range(0, len(row), 16_000):
+                    part = [anchor[k : k + 16_000].astype(np.int32), *(c[i : i + 4000][row[k : k + 16_000]] for c in cols)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["anchor", *names])
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for run, anchor in _runs(batches):
-            for a, b in _pairs_of(*run, similarity, anchor):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        for (tid, fp, n, *held), anchor in _runs(batches, names):
+            held = np.stack(held, 1) if held else None
+            for i, j in _pairs_of(np.arange(len(tid)), fp, n, similarity, anchor, held):
+                cols = [tid[i], tid[j], _difference(fp, n, held, i, j)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "apart"])
 
-    points = prints.select("tid", "fp", "n").mapInArrow(replicate, "anchor int, tid long, fp long, n int")
-    dealt = points.repartition(max(1, -(-32 * prints.count() // POINTS)), "anchor").sortWithinPartitions("anchor", "n")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    typed = "anchor int, tid long, fp long, n int" + "".join(f", {m} long" for m in marks)
+    points = prints.select(*names).mapInArrow(replicate, typed)
+    held = POINTS * 3 // len(names)  # rows with marks are wider
+    dealt = points.repartition(max(1, -(-32 * prints.count() // held)), "anchor").sortWithinPartitions("anchor", "n", "tid")
+    made = dealt.mapInArrow(compare, "a long, b long, apart double").distinct()
+    nearest = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
+    kept = made.withColumn("nearest", nearest).where(F.col("nearest") <= NEAREST)
+    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one_of_each(documents: DataFrame, shingle: int = resemblance.SHINGLE, similarity: float = resemblance.SIMILARITY) -> DataFrame:
     """One document of each group of near copies: word shingles with a Jaccard similarity of at least this, link by link.
 
-    SimHash anchors bring the texts together and whole shingle sets decide; an exact join adds the pairs beyond the anchors' radius.
+    SimHash anchors bring the texts together and whole shingle sets decide; an exact join adds the pairs that these left out.
     """
     scratch = Scratch(documents.sparkSession, "near-copies")
     prints = scratch.write(text_prints(documents, shingle), "prints")
-    tied = resemblance.verified(near_pairs(prints, similarity), documents, shingle, similarity, scratch, "tied")
+    pairs = near_pairs(prints, similarity, resemblance.SHORT_NAMES)
+    tied = resemblance.verified(pairs, documents, shingle, similarity, scratch, "tied")
     labels = scratch.write(resemblance.completed(tied, prints, documents, scratch, shingle, similarity), "labels")
     scratch.drop("prints")
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))

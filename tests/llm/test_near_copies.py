@@ -148,3 +148,69 @@ def test_pairs_of_a_large_group_are_made_once(spark):
     prints = spark.createDataFrame([(i, int(f), int(m)) for i, (f, m) in enumerate(zip(*_ball(500, 7)))], "tid long, fp long, n int")
     got = [tuple(r) for r in simhash.near_pairs(prints, 0.8).collect()]
     assert len(got) == len(set(got)) and set(got) <= {(a, b) for b in range(500) for a in range(b)}
+
+
+def test_parities_leave_out_only_what_cannot_be_similar(spark):
+    rng = random.Random(8)
+    texts = [t for _ in range(20) for t in _group(rng, 2, [1, 2, 3])]
+    prints = simhash.text_prints(_documents(spark, texts), 5)
+    rows = prints.collect()
+    close, allowed = set(), set()
+    for x in rows:
+        for y in rows:
+            if x["tid"] < y["tid"] and ((x["fp"] ^ y["fp"]) & (2**64 - 1)).bit_count() <= 11 and min(x["n"], y["n"]) >= 0.8 * max(x["n"], y["n"]):
+                close.add((x["tid"], y["tid"]))
+                differing = sum(((x[m] ^ y[m]) & (2**64 - 1)).bit_count() for m in resemblance.SHORT_NAMES)
+                if 1.8 * differing <= 0.2 * (x["n"] + y["n"]) + 1e-6:
+                    allowed.add((x["tid"], y["tid"]))
+    got = [tuple(r) for r in simhash.near_pairs(prints, 0.8, resemblance.SHORT_NAMES).collect()]
+    assert len(got) == len(set(got)) and set(got) == allowed and len(allowed) < len(close)
+    tids = {r["text"]: r["tid"] for r in _documents(spark, texts).selectExpr("text", "xxhash64(text) tid").collect()}
+    sets = {tids[t]: _shingles(t) for t in texts}
+    assert {(a, b) for a, b in close if _jaccard(sets[a], sets[b]) >= 0.8} <= allowed
+
+
+@pytest.mark.parametrize("crowd", [20_000, 50])
+def test_crowded_anchors_by_parities(monkeypatch, crowd):
+    """Two groups in one ball of fingerprints: their parities keep them apart, and each is tied as a whole."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    fp, n = _ball(1000, 9)
+    fp, n = fp[np.bitwise_count((fp ^ fp[0]).view(np.uint64)) <= 8], np.sort(n)
+    group = np.arange(len(fp)) % 2
+    marks = np.random.default_rng(9).integers(-(2**63), 2**63 - 1, (2, 8))[group]
+    label = list(range(len(fp)))
+    pairs = [p for i, j in simhash._pairs_of(np.arange(len(fp)), fp, n[: len(fp)], 0.8, None, marks) for p in zip(i.tolist(), j.tolist())]
+    for _ in range(10):
+        for i, j in pairs:
+            assert group[i] == group[j]
+            label[i] = label[j] = min(label[i], label[j])
+    assert set(label) == {0, 1} and len(pairs) <= simhash.NEAREST * len(fp)
+
+
+def test_pairs_to_verify_grow_with_the_texts(spark, monkeypatch):
+    """A large group of near copies gives a few pairs for each text to the joins, and a tie for each to the last components."""
+    verified, components, made = resemblance.verified, resemblance.connected_components, {}
+
+    def counted(pairs, documents, shingle, similarity, scratch, name):
+        pairs = scratch.write(pairs, f"{name}-counted")
+        made[name] = pairs.count()
+        return verified(pairs, documents, shingle, similarity, scratch, name)
+
+    def tied(edges, scratch):
+        made["edges"] = edges.count()
+        return components(edges, scratch)
+
+    monkeypatch.setattr(resemblance, "verified", counted)
+    monkeypatch.setattr(resemblance, "connected_components", tied)
+    rng = random.Random(9)
+    texts = _group(rng, 400, [1, 2])
+    kept = [r["doc_id"] for r in simhash.keep_one_of_each(_documents(spark, texts)).collect()]
+    sets, label = [_shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if _jaccard(sets[i], sets[j]) >= 0.8 and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert sorted(kept) == sorted(set(label)) and len(kept) < 10
+    assert 0 < made["tied"] <= simhash.NEAREST * len(texts)
+    assert made["edges"] <= len(texts) + made["rest"]
